@@ -89,12 +89,10 @@ def fit_boosting(df: DataFrame, settings: BoostingSettings | None = None) -> Boo
 def learning_curve(model: BoostedModel, df: DataFrame) -> DataFrame:
     """(run, round, split, loss): loss of each one-vs-rest model after every round (rounds x classes rows)."""
     rows = []
-    for k, m in enumerate(model.models):
-        labelled = df.withColumn("_label", (F.col("y") == k).cast("double"))
-        m.setLabelCol("_label") if hasattr(m, "setLabelCol") else None
+    for k, fitted in enumerate(model.models):
+        labelled = df.select("features", "weight", "is_val", (F.col("y") == k).cast("double").alias("_label"))
         for split, part in (("train", labelled.filter(~F.col("is_val"))), ("val", labelled.filter("is_val"))):
-            renamed = part.select("features", F.col("_label").alias(m.getLabelCol()))
-            rows += [(CLASS_LABELS[k], i, split, float(x)) for i, x in enumerate(m.evaluateEachIteration(renamed))]
+            rows += [(CLASS_LABELS[k], i, split, float(x)) for i, x in enumerate(fitted.evaluateEachIteration(part))]
     return df.sparkSession.createDataFrame(rows, "run string, round int, split string, loss double")
 
 
