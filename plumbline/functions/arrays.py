@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,11 +34,25 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``.
+
+    An outer column used inside a lambda may be inlined by the optimizer and would then be computed again
+    for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def doubles(values: Column) -> Column:
+    return F.transform(values, lambda x: x.cast("double"))
+
+
 def l2_normalize(values: Column) -> Column:
     """Unit length; a zero vector is returned unchanged."""
-    as_double = F.transform(values, lambda x: x.cast("double"))
-    norm = F.sqrt(dot(values, values))
-    return F.when(norm > 0, F.transform(as_double, lambda x: x / norm)).otherwise(as_double)
+    return let(
+        doubles(values),
+        lambda v: let(F.sqrt(dot(v, v)), lambda norm: F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)),
+    )
 
 
 def ratio(top: Column, bottom: Column, default: float = 0.0) -> Column:

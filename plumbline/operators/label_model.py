@@ -31,8 +31,8 @@ def moments(patterns: DataFrame, names: Sequence[str] = LF_NAMES) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     total = patterns.agg(F.sum("n")).scalar()
-    firsts = patterns.select("n", active.alias("_on")).select("n", "_on", F.explode("_on").alias("a"))
-    pairs = firsts.select("n", "a", F.explode("_on").alias("b"))
+    firsts = patterns.select("n", active.alias("_on")).select("n", "_on", F.explode_outer("_on").alias("a"))
+    pairs = firsts.filter(F.col("a").isNotNull()).select("n", "a", F.explode_outer("_on").alias("b"))
     return pairs.groupBy("a", "b").agg((F.sum("n") / total).alias("value"))
 
 

@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from itertools import combinations
 from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import ABSTAIN, DEPENDENCY_PATTERN, LF_NAMES, LF_TERMS, POINT_SCALE, RISK, SAFE
+from plumbline.functions.arrays import pick
 from plumbline.functions.text import contains_any
 
 
@@ -169,9 +169,20 @@ def lf_correlation(patterns: DataFrame, names: Sequence[str] = LF_NAMES) -> Data
     First and second moments are sums of small integers over the pattern table.  The pair list has a
     fixed length (153 for eighteen functions).
     """
-    one = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("long").alias("x"),
-                    F.col(b).cast("long").alias("y"), F.col("n")) for a, b in combinations(names, 2)]
-    long = patterns.select(F.inline(F.array(*one)))
+    m = len(names)
+    votes = F.array(*[F.col(name).cast("long") for name in names])
+    pairs = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(m - 2)),
+            lambda i: F.transform(
+                F.sequence(i + 1, F.lit(m - 1)),
+                lambda j: F.struct(
+                    i.alias("a"), j.alias("b"), F.get("_v", i).alias("x"), F.get("_v", j).alias("y")
+                ),
+            ),
+        )
+    )
+    long = patterns.select("n", votes.alias("_v")).select("n", F.inline_outer(pairs))
     x, y, n = F.col("x"), F.col("y"), F.col("n")
     s = long.groupBy("a", "b").agg(
         F.sum("n").alias("n"), F.sum(n * x).alias("sx"), F.sum(n * y).alias("sy"),
@@ -184,4 +195,4 @@ def lf_correlation(patterns: DataFrame, names: Sequence[str] = LF_NAMES) -> Data
     cov = d["n"] * d["sxy"] - d["sx"] * d["sy"]
     spread = F.sqrt(vx.cast("double")) * F.sqrt(vy.cast("double"))
     r = F.when((vx > 0) & (vy > 0), cov.cast("double") / spread)
-    return s.select(F.col("a").alias("lf_a"), F.col("b").alias("lf_b"), r.alias("r"))
+    return s.select(pick(names, F.col("a")).alias("lf_a"), pick(names, F.col("b")).alias("lf_b"), r.alias("r"))

@@ -16,6 +16,17 @@ from plumbline.operators.decisions import PROBABILITIES, renormalize
 from plumbline.sources.tables import union_all
 
 
+# Stopping tolerance of the regressions (fixed value).
+TOLERANCE = 1e-4
+ROWS_PER_TASK = 20_000
+
+
+def gather(df: DataFrame, n_rows: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Fewer partitions for small stored training data.  Every solver iteration is a job, so tiny tasks
+    cost more than they compute; large data keeps its partitions, as coalesce never adds any."""
+    return df.coalesce(max(1, -(-n_rows // rows_per_task)))
+
+
 @dataclass
 class BoostingSettings:
     """Defaults are fixed values; ``rounds`` is the usual knob."""
@@ -75,6 +86,7 @@ def fit_boosting(df: DataFrame, settings: BoostingSettings | None = None) -> Boo
     """Expects features (vector), y, weight and is_val.  Validation rows only decide when to stop."""
     s = settings or BoostingSettings()
     models = []
+    df = gather(df, df.count()).persist()
     for k in range(3):
         gbt = GBTClassifier(
             featuresCol="features", labelCol="_label", weightCol="weight", validationIndicatorCol="is_val",
@@ -83,6 +95,7 @@ def fit_boosting(df: DataFrame, settings: BoostingSettings | None = None) -> Boo
             validationTol=s.tolerance, seed=s.seed,
         )
         models.append(gbt.fit(df.withColumn("_label", (F.col("y") == k).cast("double"))))
+    df.unpersist()
     return BoostedModel(models, 0, s)
 
 
@@ -98,10 +111,14 @@ def learning_curve(model: BoostedModel, df: DataFrame) -> DataFrame:
 
 def fit_logistic(df: DataFrame, max_iter: int = 100, label: str = "y") -> LogisticRegressionModel:
     """Multinomial regression; the penalty matches an L2 weight of one against the summed loss."""
-    return LogisticRegression(
+    n = df.count()
+    rows = gather(df.withColumn(label, F.col(label).cast("double")), n).persist()
+    model = LogisticRegression(
         featuresCol="features", labelCol=label, family="multinomial", maxIter=max_iter,
-        regParam=1.0 / max(df.count(), 1), elasticNetParam=0.0, standardization=False,
-    ).fit(df.withColumn(label, F.col(label).cast("double")))
+        regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, tol=TOLERANCE,
+    ).fit(rows)
+    rows.unpersist()
+    return model
 
 
 def class_probabilities(model: LogisticRegressionModel, df: DataFrame) -> DataFrame:

@@ -525,7 +525,7 @@ def l2_normalized(spark, sf_dir):
 
 @register
 def dedup_score(spark, sf_dir):
-    docs = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = tables.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     scored = matrix.score_distinct(docs, "text", lambda d: features.symbolic_features(d, "text"))
     return scored.select("id", "flesch_reading_ease", "word_count", "sentence_count")
 

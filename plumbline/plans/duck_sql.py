@@ -549,7 +549,7 @@ _LABEL_STATS = """SELECT count(*) AS n_rows, count(*) FILTER (risk_label = 'SAFE
   min(risk_confidence) AS min, max(risk_confidence) AS max, count(*) FILTER (risk_confidence > 0.75) AS n_high_confidence
   FROM labeled"""
 _LF_SUMMARY = """SELECT j, lf, concat_ws(',', CASE WHEN bool_or(vote = 0) THEN '0' END, CASE WHEN bool_or(vote = 1) THEN '1' END) AS polarity,
-  avg((vote <> -1)::INT) AS coverage, avg((vote <> -1 AND n_safe + n_risk >= 2)::INT) AS overlaps,
+  avg((vote <> -1)::INT) AS coverage, avg((vote <> -1 AND n_safe + n_risk >= 2)::INT) AS "overlaps",
   avg(((vote = 0 AND n_risk > 0) OR (vote = 1 AND n_safe > 0))::INT) AS conflicts, count(*) FILTER (vote <> -1) AS n_votes
   FROM long GROUP BY j, lf"""
 _CORR = " UNION ALL ".join(
@@ -636,7 +636,7 @@ SELECT id, 'Medium' FROM labeled WHERE risk_label = 'RISK' UNION ALL SELECT id,
 SELECT v.vote::BIGINT AS vote, count(l.id) AS n, {r('100e0 * count(l.id) / (SELECT count(*) FROM long)')} AS pct
 FROM v LEFT JOIN long l ON l.vote = v.vote GROUP BY v.vote""",
     "lf_summary": f"""WITH {LONG_VOTES}, s AS ({_LF_SUMMARY}) SELECT {n('j')} AS j, lf, polarity, {r('coverage')} AS coverage,
-  {r('overlaps')} AS overlaps, {r('conflicts')} AS conflicts, n_votes FROM s""",
+  {r('"overlaps"')} AS "overlaps", {r('conflicts')} AS conflicts, n_votes FROM s""",
     "lf_overall": f"""WITH {COUNTED}, o AS ({_OVERALL}) SELECT n_rows, {r('coverage')} AS coverage, n_no_vote, {r('mean_votes')} AS mean_votes,
   {n('min_votes')} AS min_votes, {n('max_votes')} AS max_votes, n_conflicting, {r('pct_conflicting')} AS pct_conflicting FROM o""",
     "lf_correlation": f"WITH {VOTES}, k AS ({_CORR}) SELECT lf_a, lf_b, {r('r')} AS r FROM k",

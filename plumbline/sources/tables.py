@@ -60,8 +60,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core.
+
+    Text work is heavy per byte.  A table that reads as a handful of splits is at most a handful of blocks,
+    so the extra exchange is small; a table with enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stories_from(table(spark, sf_dir, "documents"))
+    return stories_from(documents(spark, sf_dir))
 
 
 def stories_from(docs: DataFrame) -> DataFrame:
@@ -136,7 +150,7 @@ def sprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def story_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> raw scoring requests, untouched texts with text-typed numbers as they arrive."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     i = F.col("doc_id")
     return docs.select(
         i.alias("id"),
