@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import CLASS_LABELS, COST_MATRIX
-from plumbline.functions.arrays import argmax, argmin, literal_array, pick, total
+from plumbline.functions.arrays import argmax, argmin, let, literal_array, pick, total
 
 PROBABILITIES = ("p0", "p1", "p2")
 
@@ -25,11 +25,13 @@ def with_argmax(df: DataFrame, columns: Sequence[str] = PROBABILITIES) -> DataFr
 def renormalize(df: DataFrame, columns: Sequence[str] = PROBABILITIES) -> DataFrame:
     """Scale a row to sum 1; a row of zeros stays as it is."""
     row_sum = total(probability_array(columns))
-    scaled = df.withColumn("_sum", row_sum)
-    return scaled.select(
-        *[c for c in df.columns if c not in columns],
-        *[F.when(F.col("_sum") != 0, F.col(c) / F.col("_sum")).otherwise(F.col(c)).alias(c) for c in columns],
+    kept = [c for c in df.columns if c not in columns]
+    scaled = let(
+        row_sum,
+        lambda s: F.struct(*[F.when(s != 0, F.col(c) / s).otherwise(F.col(c)).alias(c) for c in columns]),
     )
+    # Unfolded by a generator, so that later steps do not repeat these expressions once per use.
+    return df.select(*kept, F.inline(F.array(scaled)))
 
 
 def oriented(matrix: Sequence[Sequence[float]], orientation: str = "predicted_rows") -> list[list[float]]:

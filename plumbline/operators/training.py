@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config import CLASS_LABELS, SEED
 from plumbline.operators.decisions import PROBABILITIES, renormalize
+from plumbline.session import side_by_side
 from plumbline.sources.tables import union_all
 
 
@@ -85,16 +86,18 @@ def as_vector(df: DataFrame, column: str = "features") -> DataFrame:
 def fit_boosting(df: DataFrame, settings: BoostingSettings | None = None) -> BoostedModel:
     """Expects features (vector), y, weight and is_val.  Validation rows only decide when to stop."""
     s = settings or BoostingSettings()
-    models = []
     df = gather(df, df.count()).persist()
-    for k in range(3):
+
+    def fit_class(k: int) -> GBTClassificationModel:
         gbt = GBTClassifier(
             featuresCol="features", labelCol="_label", weightCol="weight", validationIndicatorCol="is_val",
             maxIter=s.rounds, maxDepth=s.depth, minInstancesPerNode=s.min_rows, maxBins=s.bins,
             subsamplingRate=s.row_share, featureSubsetStrategy=str(s.column_share), stepSize=s.step,
             validationTol=s.tolerance, seed=s.seed,
         )
-        models.append(gbt.fit(df.withColumn("_label", (F.col("y") == k).cast("double"))))
+        return gbt.fit(df.withColumn("_label", (F.col("y") == k).cast("double")))
+
+    models = side_by_side(fit_class, range(3))
     df.unpersist()
     return BoostedModel(models, 0, s)
 

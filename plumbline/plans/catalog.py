@@ -413,7 +413,7 @@ def folds(spark, sf_dir):
 
 @register
 def oob_probs(spark, sf_dir):
-    return flows.cross_validated(_labeled(spark, sf_dir))
+    return flows.cross_validated(session.cut(_labeled(spark, sf_dir).select("id", "full_text", "risk_label_binary")))
 
 
 @register
@@ -507,7 +507,8 @@ def fused_features(spark, sf_dir):
 def tfidf_bigram(spark, sf_dir):
     preds = tables.predictions(spark, sf_dir)
     split = splits.label_split(preds, "y").select("id", "split")
-    texts = tfidf.with_terms(_cleaned(spark, sf_dir).select("id", "full_text").join(split, "id"), bigrams=True)
+    terms = tfidf.with_terms(_cleaned(spark, sf_dir).select("id", "full_text"), bigrams=True)
+    texts = session.cut(terms.drop("full_text").join(split, "id"))
     model = tfidf.fit(texts.filter(F.col("split") == "train"))
     return tfidf.long_form(model.transform(texts), model)
 
@@ -558,7 +559,7 @@ def argmax_class(spark, sf_dir):
 @register
 def train_logreg(spark, sf_dir):
     encoded = cleaning.encode_labels(_classes(spark, sf_dir)).select("id", "full_text", F.col("risk_class").alias("y"))
-    texts = tfidf.with_terms(encoded)
+    texts = tfidf.with_terms(session.cut(encoded))
     vectors = tfidf.fit(texts, max_df=0.8, min_df=2).transform(texts).select("id", "y", "features")
     model = training.fit_logistic(vectors, 50)
     return training.class_probabilities(model, vectors).select("id", "y", "p0", "p1", "p2")

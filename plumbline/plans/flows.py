@@ -5,19 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import ABLATION_SEEDS, CLASS_THRESHOLD, FEATURE_NAMES, HIGH_CONFIDENCE, SEED, TRAIN_CONFIDENCE
 from plumbline.operators import cleaning, decisions, evaluation, label_model, labeling, matrix, noise, splits, tfidf, training
+from plumbline.operators.features import symbolic_features
 from plumbline.session import cut
 from plumbline.sources.tables import union_all
 
 
 def weak_labels(raw: DataFrame, epochs: int = 500) -> DataFrame:
-    """Clean, vote, fit the label model, label."""
+    """Clean, vote, fit the label model, label.
+
+    The votes are stored with their stories: searching the texts again for the second pass would cost more
+    than reading them back.
+    """
     cleaned = cleaning.preprocess(raw)
-    votes = labeling.apply_functions(cleaned, keep=cleaned.columns)
+    votes = cut(labeling.apply_functions(cleaned, keep=cleaned.columns))
     mu = label_model.fit(label_model.moments(labeling.vote_patterns(votes)), epochs=epochs)
     return label_model.label_rows(cleaned, votes, label_model.fitted_log_odds(mu))
 
@@ -52,8 +57,7 @@ class Augmented:
 
 def augment(raw: DataFrame, epochs: int = 500, threshold: float = CLASS_THRESHOLD) -> Augmented:
     """Load, clean, label, prune, high-confidence subset, three classes."""
-    # Stored once: the label model, the folds, the classifier and the pruning all read the same labels.
-    labeled = cut(weak_labels(raw, epochs))
+    labeled = weak_labels(raw, epochs)
     flagged = cut(noise.flag_issues(cut(cross_validated(labeled))))
     pruned = noise.prune(labeled, flagged)
     return Augmented(
@@ -65,35 +69,32 @@ def augment(raw: DataFrame, epochs: int = 500, threshold: float = CLASS_THRESHOL
 def funnel(stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """(stage_no, stage, n, lost, kept_pct): rows per stage and the loss since the stage before.
 
-    The differences are taken over the stage rows only, a list as long as ``stages``.
+    The window spans the stage rows only, a list as long as ``stages``.
     """
-    from pyspark.sql import Window
-
     counts = union_all(
-        [df.agg(F.count("*").alias("n")).select(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), "n") for i, (name, df) in enumerate(stages)]
+        [
+            df.agg(F.count("*").alias("n")).select(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), "n")
+            for i, (name, df) in enumerate(stages)
+        ]
     )
-    return funnel_losses(counts, Window.orderBy("stage_no"))
-
-
-def funnel_losses(counts: DataFrame, order) -> DataFrame:
-    before = F.lag("n").over(order)
+    before = F.lag("n").over(Window.orderBy("stage_no"))
     return counts.select(
         "stage_no", "stage", "n", F.coalesce(before - F.col("n"), F.lit(0)).alias("lost"),
         F.coalesce(F.when(before > 0, 100.0 * F.col("n") / before), F.lit(100.0)).alias("kept_pct"),
     )
 
 
-def feature_frame(labeled: DataFrame, split: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(id, y, split, features): symbolic values scaled on the training rows, then the text embedding."""
-    encoded = cleaning.encode_labels(labeled).select("id", "full_text", F.col("risk_class").alias("y"))
-    from plumbline.operators.features import symbolic_features
+def feature_rows(labeled: DataFrame, keep: Sequence[str] = ("idproject",)) -> DataFrame:
+    """(id, y, fifteen features, embedding) plus ``keep``: every text is read once, only numbers remain."""
+    encoded = cleaning.encode_labels(labeled).select("id", *keep, "full_text", F.col("risk_class").alias("y"))
+    return matrix.embed_texts(symbolic_features(encoded), "full_text").drop("full_text")
 
-    symbolic = symbolic_features(encoded.join(split.select("id", "split"), "id"))
-    embedded = matrix.embed_texts(symbolic, "full_text").drop("full_text")
-    scaled = matrix.scale(embedded, embedded.filter(F.col("split") == "train"), FEATURE_NAMES)
-    fused = scaled.select(
-        "id", "y", "split", F.concat(F.array(*FEATURE_NAMES), F.col("embedding")).alias("features")
-    )
+
+def feature_frame(rows: DataFrame, split: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(id, y, split, features): symbolic values scaled on the training rows, then the embedding."""
+    joined = rows.join(split.select("id", "split"), "id")
+    scaled = matrix.scale(joined, joined.filter(F.col("split") == "train"), FEATURE_NAMES)
+    fused = scaled.select("id", "y", "split", F.concat(F.array(*FEATURE_NAMES), F.col("embedding")).alias("features"))
     return training.as_vector(fused), matrix.fused_names(FEATURE_NAMES)
 
 
@@ -108,9 +109,9 @@ class Trained:
 
 def train(classes: DataFrame, settings: training.BoostingSettings | None = None, stratum: str = "idproject") -> Trained:
     """Filter, split, features, boosting with validation, calibration on the validation rows, test scores."""
-    usable = cleaning.confident(classes, TRAIN_CONFIDENCE)
-    split = splits.stratified_split(usable, stratum)
-    frame, names = feature_frame(usable, split)
+    # Stored once, as numbers only: splitting, scaling, fitting and scoring all read it.
+    rows = cut(feature_rows(cleaning.confident(classes, TRAIN_CONFIDENCE), (stratum,)))
+    frame, names = feature_frame(rows, splits.stratified_split(rows, stratum))
     frame = cut(frame)
     weighted = splits.sample_weights(frame.filter(F.col("split") != "test"), "y").withColumn("is_val", F.col("split") == "val")
     model = training.fit_boosting(weighted, settings)
@@ -121,7 +122,8 @@ def train(classes: DataFrame, settings: training.BoostingSettings | None = None,
 
 def score(frame: DataFrame, trained: Trained) -> DataFrame:
     """(id, y, p0..p2, y_pred, risk_level, confidence) by calibrated cost-sensitive decision."""
-    calibrated = training.calibrate(trained.model.transform(frame).select("id", "y", "p0", "p1", "p2"), trained.calibration)
+    raw = cut(trained.model.transform(frame).select("id", "y", "p0", "p1", "p2"))
+    calibrated = training.calibrate(raw, trained.calibration)
     return decisions.risk_decision(calibrated).drop("expected_costs")
 
 
@@ -153,7 +155,7 @@ def ablation_arm(df: DataFrame, seed: int, max_iter: int = 50) -> float:
     """Macro F1 of TF-IDF (words and pairs, fitted on the training rows) with logistic regression."""
     encoded = cleaning.encode_labels(df).select("id", "full_text", F.col("risk_class").alias("y"))
     split = splits.label_split(encoded, "y", seed)
-    texts = tfidf.with_terms(encoded.join(split.select("id", "split"), "id"), bigrams=True).persist()
+    texts = tfidf.with_terms(encoded, bigrams=True).join(split.select("id", "split"), "id").persist()
     train_rows, test_rows = texts.filter(F.col("split") == "train"), texts.filter(F.col("split") == "test")
     vectorizer = tfidf.fit(train_rows)
     model = training.fit_logistic(vectorizer.transform(train_rows).select("id", "y", "features"), max_iter)
@@ -209,5 +211,5 @@ def decision_runs(preds: DataFrame, seeds: Sequence[int] = tuple(ABLATION_SEEDS)
 
 __all__ = [
     "SEED", "Augmented", "Trained", "ablation", "ablation_summary", "augment", "cross_validated", "decision_runs",
-    "feature_frame", "funnel", "labeled_by_assumption", "score", "train", "training_report", "weak_labels",
+    "feature_frame", "feature_rows", "funnel", "labeled_by_assumption", "score", "train", "training_report", "weak_labels",
 ]

@@ -5,9 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+R = TypeVar("R")
+
 
 def local_session(cores: int | None = None, app: str = "plumbline") -> SparkSession:
     """A single-machine session.  On a cluster the caller brings its own session instead."""
@@ -57,5 +64,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def side_by_side(work: Callable[[T], R], items: Iterable[T]) -> list[R]:
+    """Run independent model fits at the same time; each is a chain of small Spark jobs."""
+    listed = list(items)
+    with ThreadPool(max(1, len(listed))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(work), listed)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
