@@ -41,7 +41,6 @@ class BoostingSettings:
     step: float = 0.05
     tolerance: float = 0.0
     seed: int = SEED
-    repeat_symbolic: int = 1  # 2 draws symbolic columns twice as often
 
 
 @dataclass
@@ -49,7 +48,6 @@ class BoostedModel:
     """One-vs-rest boosted trees; probabilities are the normalised one-vs-rest probabilities."""
 
     models: list[GBTClassificationModel]
-    n_features: int
     settings: BoostingSettings = field(default_factory=BoostingSettings)
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -61,12 +59,13 @@ class BoostedModel:
         return renormalize(out)
 
     def importances(self, spark, names: Sequence[str], symbolic: Sequence[str]) -> DataFrame:
-        """Mean gain share per feature; features without a split have 0."""
-        width = len(names)
+        """Mean gain share per feature; features without a split have 0.  Repeated symbolic columns, which
+        follow the named ones, count for their original."""
+        width, block = len(names), max(1, len(symbolic))
         totals = [0.0] * width
         for model in self.models:
             for i, value in enumerate(model.featureImportances.toArray()):
-                totals[i if i < width else i - width] += float(value) / len(self.models)
+                totals[i if i < width else (i - width) % block] += float(value) / len(self.models)
         kind = ["symbolic" if n in symbolic else "embedding" for n in names]
         return spark.createDataFrame(list(zip(names, kind, totals)), "feature string, kind string, importance double")
 
@@ -75,8 +74,8 @@ class BoostedModel:
             model.write().overwrite().save(f"{path}/{CLASS_LABELS[k].lower()}")
 
     @staticmethod
-    def load(path: str, n_features: int) -> BoostedModel:
-        return BoostedModel([GBTClassificationModel.load(f"{path}/{c.lower()}") for c in CLASS_LABELS], n_features)
+    def load(path: str) -> BoostedModel:
+        return BoostedModel([GBTClassificationModel.load(f"{path}/{c.lower()}") for c in CLASS_LABELS])
 
 
 def as_vector(df: DataFrame, column: str = "features") -> DataFrame:
@@ -99,7 +98,7 @@ def fit_boosting(df: DataFrame, settings: BoostingSettings | None = None) -> Boo
 
     models = side_by_side(fit_class, range(3))
     df.unpersist()
-    return BoostedModel(models, 0, s)
+    return BoostedModel(models, s)
 
 
 def learning_curve(model: BoostedModel, df: DataFrame) -> DataFrame:

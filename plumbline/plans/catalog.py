@@ -10,13 +10,13 @@ from collections.abc import Callable
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import session
-from plumbline.config import FEATURE_NAMES, LF_NAMES, SEED
-from plumbline.functions.arrays import dot, l2_normalize
+from plumbline.config import FEATURE_NAMES, SEED
+from plumbline.functions.arrays import l2_normalize
 from plumbline.operators import (
     cleaning, decisions, evaluation, explain, features, health, label_model, labeling, matrix, noise, scope,
     similarity, splits, tfidf, training, validation,
@@ -93,12 +93,13 @@ def _symbolic(spark, sf_dir):
 def _scaled(spark, sf_dir):
     symbolic = _symbolic(spark, sf_dir)
     split = splits.stratified_split(_cleaned(spark, sf_dir), "idproject")
-    rows = symbolic.join(split.select("id", "split"), "id").drop("idproject")
+    # Stored as numbers: the training statistics and the scaled rows share one reading of the texts.
+    rows = session.cut(symbolic.join(split.select("id", "split"), "id").drop("idproject"))
     return matrix.scale(rows, rows.filter(F.col("split") == "train"), FEATURE_NAMES)
 
 
 def _factors(spark, sf_dir):
-    symbolic = _symbolic(spark, sf_dir).select("id", *tables.FACTOR_FEATURES)
+    symbolic = session.cut(_symbolic(spark, sf_dir).select("id", *tables.FACTOR_FEATURES))
     return explain.with_attributions(symbolic, tables.FACTOR_FEATURES, tables.FACTOR_WEIGHTS)
 
 
@@ -500,7 +501,7 @@ def scaled_features(spark, sf_dir):
 def fused_features(spark, sf_dir):
     embedded = tables.embeddings(spark, sf_dir)
     fused = matrix.fuse(_scaled(spark, sf_dir), embedded, FEATURE_NAMES)
-    return fused.select("id", F.posexplode("features").alias("position", "value"))
+    return fused.select("id", F.posexplode_outer("features").alias("position", "value"))
 
 
 @register
@@ -521,7 +522,7 @@ def embed_text(spark, sf_dir):
 @register
 def l2_normalized(spark, sf_dir):
     unit = tables.embeddings(spark, sf_dir).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * 3))
-    return unit.select("id", F.posexplode(l2_normalize(F.col("embedding"))).alias("position", "value"))
+    return unit.select("id", F.posexplode_outer(l2_normalize(F.col("embedding"))).alias("position", "value"))
 
 
 @register
@@ -865,5 +866,3 @@ def stream_score(spark, sf_dir):
     scoring.start_scoring(documents, output, checkpoint).awaitTermination()
     return spark.read.parquet(output)
 
-
-__all__ = ["LF_NAMES", "REGISTRY", "Window", "dot", "finish"]

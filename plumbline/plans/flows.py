@@ -90,11 +90,16 @@ def feature_rows(labeled: DataFrame, keep: Sequence[str] = ("idproject",)) -> Da
     return matrix.embed_texts(symbolic_features(encoded), "full_text").drop("full_text")
 
 
-def feature_frame(rows: DataFrame, split: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(id, y, split, features): symbolic values scaled on the training rows, then the embedding."""
+def feature_frame(rows: DataFrame, split: DataFrame, symbolic_weight: int = 1) -> tuple[DataFrame, list[str]]:
+    """(id, y, split, features): symbolic values scaled on the training rows, then the embedding.
+
+    A ``symbolic_weight`` of 2 repeats the symbolic columns, so that column sampling draws them twice as often.
+    """
     joined = rows.join(split.select("id", "split"), "id")
     scaled = matrix.scale(joined, joined.filter(F.col("split") == "train"), FEATURE_NAMES)
-    fused = scaled.select("id", "y", "split", F.concat(F.array(*FEATURE_NAMES), F.col("embedding")).alias("features"))
+    symbolic = F.array(*FEATURE_NAMES)
+    features = F.concat(symbolic, F.col("embedding"), *[symbolic] * (symbolic_weight - 1))
+    fused = scaled.select("id", "y", "split", features.alias("features"))
     return training.as_vector(fused), matrix.fused_names(FEATURE_NAMES)
 
 
@@ -107,11 +112,13 @@ class Trained:
     test: DataFrame
 
 
-def train(classes: DataFrame, settings: training.BoostingSettings | None = None, stratum: str = "idproject") -> Trained:
+def train(
+    classes: DataFrame, settings: training.BoostingSettings | None = None, stratum: str = "idproject", symbolic_weight: int = 1
+) -> Trained:
     """Filter, split, features, boosting with validation, calibration on the validation rows, test scores."""
     # Stored once, as numbers only: splitting, scaling, fitting and scoring all read it.
     rows = cut(feature_rows(cleaning.confident(classes, TRAIN_CONFIDENCE), (stratum,)))
-    frame, names = feature_frame(rows, splits.stratified_split(rows, stratum))
+    frame, names = feature_frame(rows, splits.stratified_split(rows, stratum), symbolic_weight)
     frame = cut(frame)
     weighted = splits.sample_weights(frame.filter(F.col("split") != "test"), "y").withColumn("is_val", F.col("split") == "val")
     model = training.fit_boosting(weighted, settings)

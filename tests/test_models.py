@@ -7,7 +7,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from plumbline import session
-from plumbline.config import COST_MATRIX, LF_NAMES
+from plumbline.config import COST_MATRIX, FEATURE_NAMES, LF_NAMES
 from plumbline.functions.arrays import l2_normalize
 from plumbline.operators import cleaning, label_model, labeling, matrix, noise, similarity, tfidf, training
 from plumbline.plans import flows
@@ -143,7 +143,7 @@ def test_training_scores_and_artifacts(spark, tmp_path):
     best = scored.select("y", F.array("p0", "p1", "p2").alias("p")).filter(F.expr("array_position(p, array_max(p)) - 1 = y"))
     assert best.count() > 160
     model.save(str(tmp_path / "trees"))
-    again = training.BoostedModel.load(str(tmp_path / "trees"), 2).transform(df)
+    again = training.BoostedModel.load(str(tmp_path / "trees")).transform(df)
     assert again.select("id", "p0").exceptAll(scored.select("id", "p0")).count() == 0
     curve = training.learning_curve(model, df)
     assert curve.groupBy("run", "split").count().count() == 6
@@ -164,7 +164,9 @@ def test_model_pipeline_roundtrip(spark, tmp_path):
 
 def test_training_flow(spark):
     classes = cleaning.map_to_classes(flows.labeled_by_assumption(tables.stories(spark, DATA)), 0.85)
-    trained = flows.train(classes, training.BoostingSettings(rounds=2))
+    trained = flows.train(classes, training.BoostingSettings(rounds=2), symbolic_weight=2)
+    assert trained.frame.first()["features"].size == 15 + 64 + 15
+    assert trained.model.importances(spark, trained.names, FEATURE_NAMES).count() == 79
     report = {r["metric"]: r["value"] for r in flows.training_report(trained).collect()}
     assert 0 <= report["accuracy"] <= 1 and report["n"] > 0
     scored = flows.score(trained.frame, trained)
