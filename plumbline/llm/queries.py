@@ -7,10 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, quality_rules, simhash
+from plumbline.llm import decontamination, quality_rules, simhash, toxicity
+from plumbline.llm.text_blocks import fold
 from plumbline.sources.tables import table
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on the labelled documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").where(fold("doc_id", 3) != 1).select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.fit(docs.join(labels, "doc_id"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, name = toxicity.with_score(docs, toxicity_model(spark, sf_dir))
+    return scored.select(
+        "doc_id",
+        (fold("doc_id", 3) == 1).alias("held_out"),
+        F.col(name).alias("score"),
+        (F.col(name) >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked, (n, at, items) = decontamination.mark(docs, table(spark, sf_dir, "benchmark"))
@@ -41,6 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
