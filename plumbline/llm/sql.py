@@ -52,7 +52,7 @@ QUALITY_RULES = f"""
 WITH docs AS (
     SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t,
            regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
-           list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{_WORD}')) AS lines
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines
     FROM documents
 ), windows AS (
     SELECT r, i, w[i : i + 2] AS win FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM docs)
@@ -88,7 +88,7 @@ tested AS (
     GROUP BY ALL
 ), proven AS (
     SELECT lang, rate, min(cutoff) AS cutoff FROM tested
-    WHERE k < n * {RISK} AND list_sum(list_transform(range(0, k + 1), j -> exp(
+    WHERE k < n * {RISK} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(
         lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})
     ))) <= {DELTA} / (SELECT count(*) FROM candidates)
     GROUP BY lang, rate
