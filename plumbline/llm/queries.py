@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, quality_rules, simhash, toxicity
+from plumbline.llm import decontamination, language_id, packing, quality_rules, simhash, toxicity
 from plumbline.llm.text_blocks import fold
 from plumbline.sources.tables import table
 
@@ -30,6 +31,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), by_word=True)
+    return packing.with_checksum(pieces.withColumnRenamed("id", "doc_id"))
+
+
+def language_network(spark: SparkSession, sf_dir: str) -> language_id.Network:
+    """Trained on the documents outside the held-out fold."""
+    return language_id.fit(table(spark, sf_dir, "documents").where(fold("doc_id", 4) != 2))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    named, (lang, score) = language_id.with_language(docs, language_network(spark, sf_dir))
+    held_out = (fold("doc_id", 4) == 2).alias("held_out")
+    return named.select("doc_id", held_out, F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked, (n, at, items) = decontamination.mark(docs, table(spark, sf_dir, "benchmark"))
@@ -61,6 +79,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
