@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, language_id, packing, quality_rules, simhash, toxicity
+from plumbline.llm import decontamination, html_text, language_id, packing, quality_rules, simhash, toxicity
 from plumbline.llm.text_blocks import fold
 from plumbline.sources.tables import table
 
@@ -31,6 +31,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found, name = html_text.with_main_text(pages)
+    return found.select("page_id", "url", F.col(name).alias("text"), F.char_length(name).cast("long").alias("n_chars"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), by_word=True)
     return packing.with_checksum(pieces.withColumnRenamed("id", "doc_id"))
@@ -79,6 +85,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_html_text": op3_html_text,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op8_decontaminate": op8_decontaminate,
