@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, html_text, language_id, packing, quality_rules, simhash, toxicity
+from plumbline.llm import decontamination, html_text, language_id, packing, pitman_yor, quality_rules, simhash, toxicity
 from plumbline.llm.text_blocks import fold
 from plumbline.sources.tables import table
 
@@ -37,6 +37,20 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col(name).alias("text"), F.char_length(name).cast("long").alias("n_chars"))
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = pitman_yor.fit(docs.where(fold("doc_id", 5) != 1))
+    return pitman_yor.score(docs, model, counts).select(
+        F.col("id").alias("doc_id"),
+        (fold("id", 5) == 1).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.known.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), by_word=True)
     return packing.with_checksum(pieces.withColumnRenamed("id", "doc_id"))
@@ -86,6 +100,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_html_text": op3_html_text,
+    "op4_pitman_yor": op4_pitman_yor,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op8_decontaminate": op8_decontaminate,
