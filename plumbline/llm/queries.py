@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, html_text, language_id, packing, pitman_yor, quality_rules, simhash, toxicity
+from plumbline.llm import (
+    decontamination, html_text, language_id, packing, pitman_yor, quality_bayes, quality_rules, simhash, token_counts,
+    toxicity,
+)
 from plumbline.llm.text_blocks import fold
 from plumbline.sources.tables import table
 
@@ -31,6 +34,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = token_counts.zipf_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    counted, name = token_counts.with_token_count(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    return counted.select("doc_id", F.col(name).alias("n_tokens"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found, name = html_text.with_main_text(pages)
@@ -68,6 +77,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out, F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
+def op7_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source is the host, and its language section the path.  Labels of a fifth of the documents are left out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    scored = quality_bayes.score(docs, docs.where(fold("doc_id", 5) != 1).join(labels, "doc_id"))
+    return scored.select(F.col("id").alias("doc_id"), (fold("id", 5) == 1).alias("held_out"),
+                         "evidence", "host_rate", "path_rate", "posterior", "kept")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked, (n, at, items) = decontamination.mark(docs, table(spark, sf_dir, "benchmark"))
@@ -99,10 +117,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_token_counts": op2_token_counts,
     "op3_html_text": op3_html_text,
     "op4_pitman_yor": op4_pitman_yor,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
+    "op7_quality_bayes": op7_quality_bayes,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,

@@ -197,15 +197,15 @@ def roots(edges: DataFrame) -> DataFrame:
 
 def components(coded: DataFrame, ident: str = "doc_id", code: str = "simhash", radius: int = RADIUS,
                tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(code, component) for each distinct code: the smallest id among all documents that can be reached."""
+    """(code, root, component) for each distinct code: the smallest code and the smallest id that can be reached."""
     distinct = stored(coded.groupBy(F.col(code).alias("code")).agg(F.min(ident).alias("least_id")), "simhash-codes")
     found = roots(links(distinct, "code", radius, tile_rows))
     members = found.select(F.col("node").alias("code"), "root").union(found.select("root", "root").distinct())
     members = members.join(distinct, "code")
     lowest = members.groupBy("root").agg(F.min("least_id").alias("component"))
-    linked = members.join(lowest, "root").select("code", "component")
+    linked = members.join(lowest, "root").select("code", "root", "component")
     return distinct.join(linked, "code", "left").select(
-        "code", F.coalesce("component", "least_id").alias("component")
+        "code", F.coalesce("root", "code").alias("root"), F.coalesce("component", "least_id").alias("component")
     )
 
 
@@ -221,18 +221,16 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id, the columns unchanged.
 
-    Documents without id count as larger than any id; among repeated rows with the smallest id one stays.
+    Documents without id count as larger than any id; among repeated rows with the smallest id one stays.  Rows are
+    chosen by numbers alone; texts are moved once, to meet the numbers of the rows that stay.
     """
     columns = docs.columns
     coded, name = with_fingerprint(docs, text)
-    coded = stored(coded, "simhash-rows")
-    groups = components(coded.select(ident, name), ident, name, **options)
-    code, group = fresh(coded, "group_code"), fresh(coded, "group_id")
-    groups = groups.select(F.col("code").alias(code), F.col("component").alias(group))
-    grouped = coded.join(groups, coded[name] == groups[code])
-    # All but the rows with the smallest id go before anything is shuffled once more.
-    nameless = grouped[group].isNull()
-    first = grouped.where((grouped[ident] == grouped[group]) | nameless)
-    key = fresh(first, "group_key")
-    first = first.withColumn(key, F.coalesce(F.col(group).cast("string"), F.concat(F.lit("code "), F.hex(name))))
-    return first.dropDuplicates([key]).select(*columns)
+    row = fresh(coded, "row_number")
+    coded = stored(coded.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    slim = coded.select(F.col(row).alias("row"), F.col(ident).alias("id"), F.col(name).alias("code"))
+    groups = components(slim, "id", "code", **options).select(F.col("code").alias("group_code"), "root")
+    met = slim.join(groups, F.col("code") == F.col("group_code"))
+    first = met.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("kept"))
+    stays = first.select(F.col("kept.row").alias(fresh(coded, "kept_row")))
+    return coded.join(stays, coded[row] == stays[stays.columns[0]], "left_semi").select(*columns)
