@@ -16,10 +16,8 @@ from plumbline.sources.tables import table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under the threshold."""
-    labels = table(spark, sf_dir, "labels").selectExpr("doc_id AS label_id", "toxic AS label_toxic")
-    known = docs.select("doc_id", "text").where(fold("doc_id", 3) != 1)
-    labelled = known.join(labels, known["doc_id"] == labels["label_id"])
-    return toxicity.keep_ordinary(docs, toxicity.fit(labelled, label="label_toxic"))
+    known = docs.where(fold("doc_id", 3) != 1)
+    return toxicity.keep_ordinary(docs, toxicity.fit(known, table(spark, sf_dir, "labels")))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.text_blocks import (
-    ALNUM, NOT_SPACE, appended, row_slices, split_words, stored, text_bytes, with_fields, word_hashes,
+    ALNUM, NOT_SPACE, appended, labelled_sample, row_slices, split_words, stored, text_bytes, word_hashes,
 )
 
 PER_CLASS = 5000
@@ -87,18 +87,16 @@ def _measured(text: str, names: list[str], extra: str):
     return run
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "quality",
+        per_class: int = PER_CLASS) -> Classifier:
     """The classifier; its evidence is relative to equal classes."""
     width = measures(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"))
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sample, sizes = labelled_sample(docs, labels, ident, text, label, per_class)
     if len(sizes) < 2:
         return Classifier(np.zeros(width), np.zeros(width), np.ones(width))
-    spread = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1_000_000))
-    share = F.when(F.col("y") == 1, per_class / sizes[1]).otherwise(per_class / sizes[0])
     names = [f"x{k}" for k in range(width)]
     schema = ", ".join(f"{n} double" for n in names) + ", y int"
-    points = rows.where(spread < 1_000_000 * share).mapInArrow(_measured("text", names, "y"), schema).toArrow()
+    points = sample.mapInArrow(_measured("text", names, "y"), schema).toArrow()
     x = np.stack([points.column(n).to_numpy() for n in names], axis=1)
     y = points.column("y").to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
@@ -137,15 +135,15 @@ def _strength(groups: DataFrame, parent_rate: Column) -> float:
     return float(min(STRONGEST, max(WEAKEST, level / between - 1)))
 
 
-def site_posteriors(labelled: DataFrame, host: str, path: str, label: str = "quality") -> tuple[DataFrame, float]:
+def site_posteriors(docs: DataFrame, labels: DataFrame, ident: str, host: str, path: str, label: str) -> tuple[DataFrame, float]:
     """(host, path, host_rate, path_rate) of the labelled sites, and the global rate.
 
     Paths without labels get their host's rate and hosts without labels the global rate when they are joined.
     """
-    rows = labelled.where(F.col(label).isin(0, 1))
-    paths = rows.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(
-        F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("good")
-    )
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(ident).alias("label_id"), F.col(label).cast("long").alias("y"))
+    rows = docs.select(F.col(ident).alias("id"), F.col(host).alias("host"), F.col(path).alias("path"))
+    rows = rows.join(known, F.col("id") == F.col("label_id"))
+    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("y").alias("good"))
     paths = stored(paths, "site-counts")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
@@ -158,10 +156,13 @@ def site_posteriors(labelled: DataFrame, host: str, path: str, label: str = "qua
     return met.select("host", "path", "host_rate", path_rate.alias("path_rate")), rate
 
 
-def score(docs: DataFrame, labelled: DataFrame, ident: str = "doc_id", text: str = "text", host: str = "host",
-          path: str = "path", label: str = "quality", per_class: int = PER_CLASS) -> DataFrame:
-    """(id, evidence, host_rate, path_rate, posterior, kept) of every document."""
-    classifier = docs.sparkSession.sparkContext.broadcast(fit(labelled, text, label, per_class))
+def score(docs: DataFrame, known: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text",
+          host: str = "host", path: str = "path", label: str = "quality", per_class: int = PER_CLASS) -> DataFrame:
+    """(id, evidence, host_rate, path_rate, posterior, kept) of every row of ``docs``.
+
+    The model is learned from the rows of ``known`` (columns as ``docs``) and their ``labels``.
+    """
+    classifier = docs.sparkSession.sparkContext.broadcast(fit(known, labels, ident, text, label, per_class))
     slim = docs.select(F.col(ident).alias("id"), F.col(host).alias("host"), F.col(path).alias("path"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +172,7 @@ def score(docs: DataFrame, labelled: DataFrame, ident: str = "doc_id", text: str
                 yield appended(part.drop_columns(["text"]), {"evidence": pa.array(e)})
 
     judged = slim.mapInArrow(run, T.StructType([*slim.drop("text").schema.fields, T.StructField("evidence", T.DoubleType())]))
-    sites, rate = site_posteriors(labelled, host, path, label)
+    sites, rate = site_posteriors(known, labels, ident, host, path, label)
     salt = F.pmod(F.xxhash64("id", "evidence"), F.lit(SALTS))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     hosts = sites.groupBy("host").agg(F.first("host_rate").alias("host_rate"))

@@ -18,9 +18,7 @@ from plumbline.sources.tables import table
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Fitted on the labelled documents outside the held-out fold."""
-    docs = table(spark, sf_dir, "documents").where(fold("doc_id", 3) != 1).select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return toxicity.fit(docs.join(labels, "doc_id"))
+    return toxicity.fit(table(spark, sf_dir, "documents").where(fold("doc_id", 3) != 1), table(spark, sf_dir, "labels"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +78,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source is the host, and its language section the path.  Labels of a fifth of the documents are left out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    scored = quality_bayes.score(docs, docs.where(fold("doc_id", 5) != 1).join(labels, "doc_id"))
+    scored = quality_bayes.score(docs, docs.where(fold("doc_id", 5) != 1), table(spark, sf_dir, "labels"))
     return scored.select(F.col("id").alias("doc_id"), (fold("id", 5) == 1).alias("held_out"),
                          "evidence", "host_rate", "path_rate", "posterior", "kept")
 

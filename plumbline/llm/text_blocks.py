@@ -66,6 +66,24 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, ident: str, text: str, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """Texts and labels (text, y) of about ``per_class`` documents of each class, and all labelled rows by class.
+
+    Ids, classes and hashes of the texts are joined first; the chosen ids, bounded by ``per_class``, are broadcast to
+    the texts, so no text is shuffled.  Equal labels of one document count once.
+    """
+    spread = F.pmod(F.xxhash64(F.lit("sample"), text), F.lit(1_000_000)).alias("spread")
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(ident).alias("label_id"), F.col(label).cast("int").alias("y"))
+    slim = docs.select(F.col(ident).alias("id"), spread).join(known, F.col("id") == F.col("label_id"))
+    slim = stored(slim.select("id", "spread", "y"), "labelled")
+    sizes = {r["y"]: r["n"] for r in slim.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("y") == 1, per_class / sizes.get(1, 1)).otherwise(per_class / sizes.get(0, 1))
+    chosen = slim.where(F.col("spread") < 1_000_000 * share).select("id", "y").distinct()
+    texts = docs.select(F.col(ident).alias("text_id"), F.col(text).alias("text"))
+    sample = texts.join(F.broadcast(chosen), F.col("text_id") == F.col("id")).select("text", "y")
+    return stored(sample, "labelled-sample"), sizes
+
+
 def row_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` bytes of text; a longer document is a slice of its own."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.text_blocks import (
-    ALNUM, Memo, Rolling, Words, appended, fresh, mixed, row_slices, split_words, text_bytes, with_fields, word_hashes,
+    ALNUM, Memo, Rolling, Words, appended, fresh, labelled_sample, mixed, row_slices,
+    split_words, text_bytes, with_fields, word_hashes,
 )
 
 PER_CLASS = 6000
@@ -81,10 +82,11 @@ class Model:
 
     def __post_init__(self):
         n = len(self.keys)
+        self.table = np.r_[np.c_[self.own, self.shared], np.zeros((1, 3))]  # the last row, -1, is of unseen stretches
         # Slots behind the stretches: the empty context, unseen contexts, and what stands before a word's beginning.
         at = np.where(self.hist >= 0, self.hist, np.where(self.hist == NO_CONTEXT, n, n + 2))
         self.totals = np.stack([np.bincount(at, c, n + 3) for c in (*self.own.T, self.shared)])
-        self.types = np.stack([np.bincount(at, c > 0, n + 3) for c in (*self.own.T, self.shared)])
+        self.taken = np.stack([np.bincount(at, np.minimum(c, DISCOUNT), n + 3) for c in (*self.own.T, self.shared)])
 
     def find(self, codes: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -104,13 +106,13 @@ class Model:
         for k in range(ORDER):
             found = self.find(g.codes[k])
             known = g.codes[k] != 0
-            counts = np.where(found[:, None] >= 0, np.c_[self.own, self.shared][found], 0.0)
+            counts = self.table[found]
             for y in (0, 1):
                 total = np.where(known, self.totals[y][context], 0)
-                mass = discounted(counts[:, y], total, self.types[y][context], low)
+                mass = discounted(counts[:, y], total, self.taken[y][context], low)
                 own[y] = np.where(total > 0, mass, own[y])
             total = np.where(known, self.totals[2][context], 0)
-            low = np.where(total > 0, discounted(counts[:, 2], total, self.types[2][context], low), low)
+            low = np.where(total > 0, discounted(counts[:, 2], total, self.taken[2][context], low), low)
             # The stretch that ended one letter earlier is the context of the next length.
             context = np.r_[-1, found[:-1]]
             context = np.where(context < 0, len(self.keys) + 1, context)
@@ -124,11 +126,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights, -30, 30)))
 
 
-def discounted(count: np.ndarray, total: np.ndarray, types: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Absolute discounting: what the discount takes, all of it where a count is smaller, goes to the lower order."""
-    kept = np.maximum(count - DISCOUNT, 0)
+def discounted(count: np.ndarray, total: np.ndarray, taken: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Absolute discounting: what is taken from the counts of a context goes to the lower order."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.minimum(kept + DISCOUNT * types * lower, total) / total
+        return (np.maximum(count - DISCOUNT, 0) + taken * lower) / total
 
 
 def features(words: Words, evidence: np.ndarray) -> np.ndarray:
@@ -143,35 +144,39 @@ def features(words: Words, evidence: np.ndarray) -> np.ndarray:
 
 
 def _counts(text: str):
-    """Letter stretches of labelled texts with their documents by fold and class."""
+    """Letter stretches of labelled texts with their documents by fold and class, one row per stretch and task."""
+
+    def of_slice(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        words = split_words(*text_bytes(part, text), ALNUM)
+        group = np.array(part.column("fold")) * 2 + np.array(part.column("label"))
+        _, where, inverse = np.unique(word_hashes(words), return_index=True, return_inverse=True)
+        pairs = np.unique(words.doc * max(1, len(where)) + inverse)
+        counts = np.zeros((len(where), 2 * FOLDS))
+        np.add.at(counts, (pairs % max(1, len(where)), group[pairs // max(1, len(where))]), 1)
+        g = grams([words.text(i) for i in where])
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        for k in range(ORDER):
+            at = np.flatnonzero(g.codes[k])
+            begins = np.diff(g.word, prepend=-1)[at] != 0
+            columns[0].append(g.codes[k][at])
+            columns[1].append(g.codes[k - 1][at - 1] if k else begins.astype(np.uint64))
+            columns[2].append(g.codes[k - 1][at] if k else np.zeros(len(at), np.uint64))
+            columns[3].append(counts[g.word[at]])
+        return merged(*(np.concatenate(c) for c in columns))
+
+    def merged(code: np.ndarray, hist: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        keys, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+        n = np.stack([np.bincount(inverse, c, len(keys)) for c in n.T], axis=1)
+        return keys, hist[first], suffix[first], n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64)
+        kept = none, none, none, np.zeros((0, 2 * FOLDS))
         for batch in batches:
             for part in row_slices(batch, text):
-                words = split_words(*text_bytes(part, text), ALNUM)
-                if not len(words):
-                    continue
-                group = np.array(part.column("fold")) * 2 + np.array(part.column("label"))
-                _, where, inverse = np.unique(word_hashes(words), return_index=True, return_inverse=True)
-                pairs = np.unique(words.doc * len(where) + inverse)
-                counts = np.zeros((len(where), 2 * FOLDS))
-                np.add.at(counts, (pairs % len(where), group[pairs // len(where)]), 1)
-                g = grams([words.text(i) for i in where])
-                columns: list[list[np.ndarray]] = [[], [], [], []]
-                for k in range(ORDER):
-                    at = np.flatnonzero(g.codes[k])
-                    begins = np.r_[True, g.word[1:] != g.word[:-1]][at]
-                    columns[0].append(g.codes[k][at])
-                    columns[1].append(g.codes[k - 1][at - 1] if k else begins.astype(np.uint64))
-                    columns[2].append(g.codes[k - 1][at] if k else np.zeros(len(at), np.uint64))
-                    columns[3].append(counts[g.word[at]])
-                code, hist, suffix, n = (np.concatenate(c) for c in columns)
-                keys, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-                out = {"code": keys, "hist": hist[first], "suffix": suffix[first]}
-                arrays = {c: pa.array(v.view(np.int64)) for c, v in out.items()}
-                for c in range(2 * FOLDS):
-                    arrays[f"n{c}"] = pa.array(np.bincount(inverse, n[:, c], len(keys)).astype(np.int64))
-                yield pa.record_batch(arrays)
+                kept = merged(*(np.concatenate(x) for x in zip(kept, of_slice(part), strict=True)))
+        arrays = {c: pa.array(v.view(np.int64)) for c, v in zip(("code", "hist", "suffix"), kept, strict=False)}
+        yield pa.record_batch(arrays | {f"n{c}": pa.array(kept[3][:, c].astype(np.int64)) for c in range(2 * FOLDS)})
 
     return run
 
@@ -205,22 +210,18 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """A model of labelled texts (label 0 or 1)."""
-    spark = labelled.sparkSession
-    rows = labelled.where(F.col(label).isin(0, 1)).select(
-        F.col(text).alias("text"), F.col(label).cast("int").alias("label")
-    )
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic",
+        per_class: int = PER_CLASS) -> Model:
+    """A model of the documents that have a label of 0 or 1."""
+    spark = docs.sparkSession
+    rows, sizes = labelled_sample(docs, labels, ident, text, label, per_class)
     if len(sizes) < 2:
         nothing = np.zeros(0, np.uint64)
         model = Model(nothing, np.zeros((0, 2)), np.zeros(0), np.zeros(0, np.int64))
         model.prior = float(1 in sizes)
         return model
-    spread = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1_000_000))
-    share = F.when(F.col("label") == 1, per_class / sizes[1]).otherwise(per_class / sizes[0])
     fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int").alias("fold")
-    sample = rows.where(spread < 1_000_000 * share).select("text", "label", fold)
+    sample = rows.select("text", F.col("y").alias("label"), fold)
     counts = [f"n{c}" for c in range(2 * FOLDS)]
     schema = "code long, hist long, suffix long, " + ", ".join(f"{c} long" for c in counts)
     table = (
