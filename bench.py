@@ -12,7 +12,7 @@ import sys
 import time
 
 from plumbline.plans.catalog import REGISTRY
-from plumbline.session import local_session
+from plumbline.session import local_session, release
 
 QUERIES = [
     "preprocess", "lf_summary", "weak_labels", "map_3class", "symbolic_features", "embed_text", "tfidf_stats",
@@ -31,6 +31,7 @@ def main() -> None:
         start = time.perf_counter()
         REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        release(spark)
         print(f"{name}: {times[name]} s", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     total = round(sum(times.values()), 3)

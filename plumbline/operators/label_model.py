@@ -18,7 +18,13 @@ from pyspark.sql import functions as F
 from plumbline.config import ABSTAIN, HIGH_CONFIDENCE, LF_NAMES, RISK, SAFE
 from plumbline.sources.tables import LF_ACCURACY, union_all
 
-FLOOR = 0.01
+LARGEST_FLOOR = 0.01
+
+
+def floor(n_rows: int) -> float:
+    """Least conditional probability: 1 % for small tables, and below one row's share for larger ones, so that the
+    votes of a rare function keep their weight."""
+    return min(LARGEST_FLOOR, 10.0 ** -math.ceil(math.log10(max(n_rows, 1))))
 
 
 def moments(patterns: DataFrame, names: Sequence[str] = LF_NAMES) -> DataFrame:
@@ -36,8 +42,9 @@ def moments(patterns: DataFrame, names: Sequence[str] = LF_NAMES) -> DataFrame:
     return pairs.groupBy("a", "b").agg((F.sum("n") / total).alias("value"))
 
 
-def fit(moment_rows: DataFrame, n_functions: int = len(LF_NAMES), epochs: int = 500, rate: float = 0.01) -> np.ndarray:
-    """mu[indicator, class] = P(vote | class), from at most (2 * n_functions)^2 moment rows.
+def fit(moment_rows: DataFrame, n_functions: int = len(LF_NAMES), epochs: int = 500, rate: float = 0.01,
+        n_rows: int = 100) -> np.ndarray:
+    """mu[indicator, class] = P(vote | class), from at most (2 * n_functions)^2 moment rows over ``n_rows`` rows.
 
     Deterministic full-batch gradient descent from a fixed start with uniform class balance.
     """
@@ -50,13 +57,14 @@ def fit(moment_rows: DataFrame, n_functions: int = len(LF_NAMES), epochs: int =
     prior = np.array([0.5, 0.5])
     seen = np.diag(second)
     agrees = (np.arange(size) % 2)[:, None] == np.arange(2)[None, :]
-    mu = np.clip(np.where(agrees, 1.4, 0.6) * seen[:, None], FLOOR, 1 - FLOOR)
+    low = floor(n_rows)
+    mu = np.clip(np.where(agrees, 1.4, 0.6) * seen[:, None], low, 1 - low)
     for _ in range(epochs):
         gap = (mu * prior) @ mu.T - second
         marginal = mu @ prior - seen
         slope = 4 * (across * gap) @ (mu * prior) + 2 * np.outer(marginal, prior)
         mu = mu - rate * slope
-    return np.clip(mu, FLOOR, 1 - FLOOR)
+    return np.clip(mu, low, 1 - low)
 
 
 def params(mu: np.ndarray, spark, names: Sequence[str] = LF_NAMES) -> DataFrame:

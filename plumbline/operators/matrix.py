@@ -26,6 +26,18 @@ def scaling_stats(train: DataFrame, columns: Sequence[str]) -> Column:
     ).scalar()
 
 
+def scaling_values(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Mean and deviation of every column as plain numbers, one row, so that they can be saved with a model."""
+    row = train.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+    return {c: (row[f"m_{c}"] or 0.0, s if (s := row[f"s_{c}"]) and s > 1e-12 else 1.0) for c in columns}
+
+
+def scale_by(df: DataFrame, values: dict[str, tuple[float, float]]) -> DataFrame:
+    """z-scores with given means and deviations."""
+    scaled = [((F.col(c) - m) / s).alias(c) for c, (m, s) in values.items()]
+    return df.select(*[c for c in df.columns if c not in values], *scaled)
+
+
 def scale(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """z-scores with the statistics of ``train``; a constant column is only centred."""
     fitted = df.withColumn("_z", scaling_stats(train, columns))

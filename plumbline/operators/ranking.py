@@ -15,6 +15,19 @@ from pyspark.sql import functions as F
 from plumbline.session import cut, shuffle_width
 
 
+def by_group(rows: DataFrame, totals: DataFrame, group: Sequence[str], small: bool = False) -> DataFrame:
+    """Join totals of groups to their rows; a null group is a group like any other.
+
+    ``small`` is for tables with one row per class or stratum, whose number the caller knows to be bounded: they are
+    broadcast, so no row moves to its class.
+    """
+    named = totals.withColumnsRenamed({g: f"_g_{g}" for g in group})
+    matched = F.lit(True)
+    for g in group:
+        matched = matched & rows[g].eqNullSafe(named[f"_g_{g}"])
+    return rows.join(F.broadcast(named) if small else named, matched).drop(*[f"_g_{g}" for g in group])
+
+
 def running_totals(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], sums: dict[str, Column], slices: int | None = None
 ) -> DataFrame:
@@ -36,7 +49,7 @@ def running_totals(
     )
     inside = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     scanned = fixed.select("*", *[F.sum(f"_v_{k}").over(inside).alias(f"_r_{k}") for k in sums])
-    return scanned.join(offsets, [*group, "_slice"]).select(
+    return by_group(scanned, offsets, [*group, "_slice"]).select(
         *df.columns, *[(F.col(f"_r_{k}") + F.col(f"_o_{k}")).alias(k) for k in sums]
     )
 
@@ -61,7 +74,7 @@ def hashed_rank(df: DataFrame, group: Sequence[str], digest: str, tie: str, name
     )
     inside = Window.partitionBy(*group, "_slice").orderBy(digest, tie)
     ranked = sliced.select("*", F.row_number().over(inside).cast("long").alias("_r"))
-    return ranked.join(offsets, [*group, "_slice"]).select(*df.columns, (F.col("_r") + F.col("_o")).alias(name))
+    return by_group(ranked, offsets, [*group, "_slice"]).select(*df.columns, (F.col("_r") + F.col("_o")).alias(name))
 
 
 def exact_median(df: DataFrame, group: Sequence[str], value: str, name: str = "median") -> DataFrame:
@@ -72,7 +85,7 @@ def exact_median(df: DataFrame, group: Sequence[str], value: str, name: str = "m
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
     first = F.col("_upto") - F.col("_c")
     at = [(F.col(value), (first < p) & (F.col("_upto") >= p)) for p in (low, high)]
-    joined = ranked.join(sizes, list(group)) if group else ranked.withColumn("_n", sizes.scalar())
+    joined = by_group(ranked, sizes, list(group)) if group else ranked.withColumn("_n", sizes.scalar())
     return joined.groupBy(*group).agg(
         ((F.max(F.when(at[0][1], at[0][0])) + F.max(F.when(at[1][1], at[1][0]))) / 2).alias(name)
     )

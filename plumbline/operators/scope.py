@@ -9,8 +9,8 @@ from plumbline.config import SCOPE_MESSAGES
 
 
 def days_needed(points: Column, velocity: Column) -> Column:
-    """At least one day; null where the velocity is not positive (such rows belong in quarantine)."""
-    return F.when(velocity > 0, F.greatest(F.lit(1), F.ceil(points / velocity))).cast("int")
+    """At least one day; null where the velocity is not positive or the points are missing (such rows belong in quarantine)."""
+    return F.when((velocity > 0) & points.isNotNull(), F.greatest(F.lit(1), F.ceil(points / velocity))).cast("int")
 
 
 def add_business_days(start: Column, days: Column) -> Column:
@@ -26,8 +26,18 @@ def add_business_days(start: Column, days: Column) -> Column:
     return F.when(days > 0, shifted).otherwise(start)
 
 
+def scope_quarantine(df: DataFrame) -> DataFrame:
+    """The rows that ``scope_impact`` cannot answer, unchanged, with the reason."""
+    reason = F.when(F.col("velocity").isNull(), "velocity is missing").when(
+        F.col("velocity") <= 0, "velocity is not positive"
+    ).when(F.col("new_points").isNull(), "points are missing")
+    return df.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def scope_impact(df: DataFrame) -> DataFrame:
-    """(id, end_date, current_points, new_points, velocity) -> dates, totals, summary, recommendations."""
+    """Answers for rows with a positive velocity; see ``scope_quarantine`` for the others.
+
+    (id, end_date, current_points, new_points, velocity) -> dates, totals, summary, recommendations."""
     cur, new, days = F.col("current_points"), F.col("new_points"), F.col("days_added")
     pct = F.when(cur > 0, new / cur * 100).otherwise(0.0)
     based = df.withColumn("days_added", days_needed(new, F.col("velocity"))).filter(days.isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import SEED
-from plumbline.operators.ranking import global_rank, hashed_rank
+from plumbline.operators.ranking import by_group, global_rank, hashed_rank
 from plumbline.sources.tables import seeded_order
 
 
@@ -14,7 +14,7 @@ def _ranked(df: DataFrame, stratum: str, seed: int) -> DataFrame:
     keyed = df.select("id", F.col(stratum).alias("_stratum"), seeded_order(seed).alias("_digest"))
     ranked = hashed_rank(keyed, ["_stratum"], "_digest", "id", "_rank")
     sizes = keyed.groupBy("_stratum").agg(F.count("*").alias("_size"))
-    return ranked.join(sizes, "_stratum")
+    return by_group(ranked, sizes, ["_stratum"])
 
 
 def stratified_split(df: DataFrame, stratum: str, seed: int = SEED) -> DataFrame:
@@ -55,7 +55,7 @@ def contiguous_folds(df: DataFrame, label: str, k: int = 5) -> DataFrame:
     fold = F.when(in_large, F.floor(rank / (small + 1))).otherwise(
         large + F.floor((rank - large * (small + 1)) / F.greatest(small, F.lit(1)))
     )
-    return ranked.join(sizes, label).select("id", label, fold.cast("int").alias("fold"))
+    return by_group(ranked, sizes, [label], small=True).select("id", label, fold.cast("int").alias("fold"))
 
 
 def split_distribution(split: DataFrame, labels: DataFrame, label: str) -> DataFrame:
@@ -68,11 +68,11 @@ def split_distribution(split: DataFrame, labels: DataFrame, label: str) -> DataF
 
 
 def sample_weights(df: DataFrame, label: str) -> DataFrame:
-    """Balanced weight n / (k * n_class).  The class table has one row per class and joins by broadcast
-    when its measured size allows."""
+    """Balanced weight n / (k * n_class).  The class table has one row per class and is broadcast.
+    A missing label is a class of its own."""
     classes = df.groupBy(label).agg(F.count("*").alias("_n"))
     totals = classes.agg(F.struct(F.sum("_n").alias("n"), F.count("*").alias("k"))).scalar()
     weights = classes.withColumn("_t", totals).select(
         label, (F.col("_t.n") / (F.col("_t.k") * F.col("_n"))).alias("weight")
     )
-    return df.join(weights, label)
+    return by_group(df, weights, [label], small=True)

@@ -19,13 +19,16 @@ from plumbline.sources.tables import union_all
 
 # Stopping tolerance of the regressions (fixed value).
 TOLERANCE = 1e-4
-ROWS_PER_TASK = 20_000
+FIT_PARTITIONS = 8
 
 
-def gather(df: DataFrame, n_rows: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Fewer partitions for small stored training data.  Every solver iteration is a job, so tiny tasks
-    cost more than they compute; large data keeps its partitions, as coalesce never adds any."""
-    return df.coalesce(max(1, -(-n_rows // rows_per_task)))
+def spread_by_id(df: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """Training rows by the hash of their id, in its order.
+
+    Trees draw rows by partition and place, so a fitted model must not depend on how the data was read.  Set
+    ``partitions`` to the cores of the cluster for large data, and keep it to get the same model again.
+    """
+    return df.repartition(partitions, "id").sortWithinPartitions("id")
 
 
 @dataclass
@@ -41,6 +44,7 @@ class BoostingSettings:
     step: float = 0.05
     tolerance: float = 0.0
     seed: int = SEED
+    partitions: int = FIT_PARTITIONS
 
 
 @dataclass
@@ -85,7 +89,7 @@ def as_vector(df: DataFrame, column: str = "features") -> DataFrame:
 def fit_boosting(df: DataFrame, settings: BoostingSettings | None = None) -> BoostedModel:
     """Expects features (vector), y, weight and is_val.  Validation rows only decide when to stop."""
     s = settings or BoostingSettings()
-    df = gather(df, df.count()).persist()
+    df = spread_by_id(df, s.partitions).persist()
 
     def fit_class(k: int) -> GBTClassificationModel:
         gbt = GBTClassifier(
@@ -114,7 +118,7 @@ def learning_curve(model: BoostedModel, df: DataFrame) -> DataFrame:
 def fit_logistic(df: DataFrame, max_iter: int = 100, label: str = "y") -> LogisticRegressionModel:
     """Multinomial regression; the penalty matches an L2 weight of one against the summed loss."""
     n = df.count()
-    rows = gather(df.withColumn(label, F.col(label).cast("double")), n).persist()
+    rows = spread_by_id(df.withColumn(label, F.col(label).cast("double"))).persist()
     model = LogisticRegression(
         featuresCol="features", labelCol=label, family="multinomial", maxIter=max_iter,
         regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, tol=TOLERANCE,

@@ -108,7 +108,7 @@ def _health_rows(spark, sf_dir):
 
 
 def _trained(spark, sf_dir):
-    return flows.train(_classes(spark, sf_dir), training.BoostingSettings(rounds=5))
+    return flows.train(_classes(spark, sf_dir))
 
 
 # --- sources ------------------------------------------------------------------------------------------
@@ -158,7 +158,9 @@ def validate_labels(spark, sf_dir):
 
 @register
 def label_vocab(spark, sf_dir):
-    frames = {"weak": _labeled(spark, sf_dir), "mapped": _classes(spark, sf_dir)}
+    # Labels are stored once, without texts; both vocabularies read them.
+    labels = session.cut(_labeled(spark, sf_dir).select("id", "risk_label", "risk_confidence"))
+    frames = {"weak": labels, "mapped": cleaning.map_to_classes(labels)}
     orders = tables.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("risk_label"))
     frames["orders"] = orders
     return tables.union_all([validation.label_vocabulary(df).withColumn("source", F.lit(n)) for n, df in frames.items()])
@@ -264,7 +266,7 @@ def sample_n(spark, sf_dir):
 
 @register
 def stories_by_risk(spark, sf_dir):
-    labeled = _labeled(spark, sf_dir)
+    labeled = session.cut(_labeled(spark, sf_dir).select("id", "risk_label"))
     frames = [cleaning.by_risk_level(labeled, level).select("id", F.lit(level).alias("level")) for level in ("Low", "Medium", "high")]
     return tables.union_all(frames)
 
@@ -356,8 +358,7 @@ def label_model_moments(spark, sf_dir):
 
 @register
 def label_model_params(spark, sf_dir):
-    mu = label_model.fit(label_model.moments(_patterns(spark, sf_dir)))
-    return label_model.params(mu, spark)
+    return label_model.params(flows.fit_label_model(_patterns(spark, sf_dir)), spark)
 
 
 @register
@@ -562,7 +563,7 @@ def train_logreg(spark, sf_dir):
     encoded = cleaning.encode_labels(_classes(spark, sf_dir)).select("id", "full_text", F.col("risk_class").alias("y"))
     texts = tfidf.with_terms(session.cut(encoded))
     vectors = tfidf.fit(texts, max_df=0.8, min_df=2).transform(texts).select("id", "y", "features")
-    model = training.fit_logistic(vectors, 50)
+    model = training.fit_logistic(vectors)
     return training.class_probabilities(model, vectors).select("id", "y", "p0", "p1", "p2")
 
 
@@ -633,8 +634,13 @@ def assessment_fallback(spark, sf_dir):
 
 @register
 def score_stories(spark, sf_dir):
-    trained = _trained(spark, sf_dir)
-    return flows.score(trained.frame, trained).select("id", "risk_level", "confidence", "p0", "p1", "p2")
+    """Every story, by a bundle that was saved and loaded again."""
+    path = session.scratch_path(spark, "bundle")
+    _trained(spark, sf_dir).bundle.save(spark, path)
+    stories = tables.stories(spark, sf_dir)
+    corpus = session.cut(flows.embedded_corpus(stories))
+    found = flows.assess(stories, flows.Bundle.load(spark, path), corpus)
+    return joined(found.withColumn("similar_ids", F.transform("similar_ids", lambda x: x.cast("string"))), "similar_ids")
 
 
 # --- evaluation ---------------------------------------------------------------------------------------
@@ -687,7 +693,7 @@ def ablation_summary(spark, sf_dir):
 
 @register
 def ablation_run(spark, sf_dir):
-    return flows.ablation_summary(flows.ablation(tables.stories(spark, sf_dir), seeds=(42, 123), epochs=200))
+    return flows.ablation_summary(flows.ablation(tables.stories(spark, sf_dir)))
 
 
 # --- explanation --------------------------------------------------------------------------------------
@@ -773,8 +779,8 @@ def similar_detail(spark, sf_dir):
 
 @register
 def similar_blocked(spark, sf_dir):
-    """The same answer from many small blocks and chunks."""
-    return similarity.top_k(tables.embeddings(spark, sf_dir), k=5, min_similarity=0.0, pivots=6, block=40, chunk=150)
+    """The same answer from many small blocks of queries."""
+    return similarity.top_k(tables.embeddings(spark, sf_dir), k=5, min_similarity=0.0, block=150)
 
 
 @register
@@ -833,14 +839,20 @@ def team_velocity(spark, sf_dir):
 
 @register
 def stage_funnel(spark, sf_dir):
-    labeled = _labeled(spark, sf_dir)
-    return flows.funnel(
+    required = ["storypoints", "description", "title"]
+    stories = tables.stories(spark, sf_dir)
+    complete = sum((F.col(c).isNull().cast("int") for c in required), F.lit(0)) == 0
+    filled = stories.withColumn("_complete", complete).fillna({"storypoints": 0.0, "description": "", "title": ""})
+    labeled = flows.labeled_by_assumption(filled)
+    kept = F.col("_complete")
+    return flows.funnel_of(
+        labeled,
         [
-            ("raw", tables.stories(spark, sf_dir)),
-            ("weak_labels", labeled),
-            ("confident", cleaning.confident(labeled, 0.5)),
-            ("high_confidence", cleaning.confident(labeled, 0.75)),
-        ]
+            ("raw", F.lit(True)),
+            ("weak_labels", kept),
+            ("confident", kept & (F.col("risk_confidence") > 0.5)),
+            ("high_confidence", kept & (F.col("risk_confidence") > 0.75)),
+        ],
     )
 
 

@@ -773,7 +773,7 @@ SELECT u.query_id, coalesce(string_agg(k.id::VARCHAR, ',' ORDER BY k.k), '') AS
 FROM (SELECT DISTINCT query_id FROM near) u LEFT JOIN (SELECT * FROM k WHERE k <= 3) k USING (query_id) GROUP BY u.query_id""",
     "similar_detail": f"""WITH {_nearest(3, 0.0)},{CLASSES} SELECT near.query_id, near.rank, near.id, {r('near.sim')} AS similarity, title,
   CASE WHEN length(description) > 200 THEN substr(description, 1, 200) || '...' ELSE description END AS description,
-  risk_label AS risk_level, story_points FROM near JOIN classes ON classes.id = near.id""",
+  risk_label AS risk_level, story_points FROM near LEFT JOIN classes ON classes.id = near.id""",
     "health_scores": f"""WITH {_health()} SELECT story_count, {', '.join(f'{r(f"{x}_score")} AS {x}_score' for x in ("volume", "completeness", "quality", "consistency"))} FROM hs""",
     "health_report": _health_report(),
     "health_by_project": _health_report("idproject"),

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.config import ABLATION_SEEDS, CLASS_THRESHOLD, FEATURE_NAMES, HIGH_CONFIDENCE, SEED, TRAIN_CONFIDENCE
-from plumbline.operators import cleaning, decisions, evaluation, label_model, labeling, matrix, noise, splits, tfidf, training
+from plumbline.config import ABLATION_SEEDS, CLASS_LABELS, COST_MATRIX, CLASS_THRESHOLD, FEATURE_NAMES, HIGH_CONFIDENCE, SEED, TRAIN_CONFIDENCE
+from plumbline.operators import (
+    cleaning, decisions, evaluation, explain, label_model, labeling, matrix, noise, similarity, splits, tfidf, training,
+)
 from plumbline.operators.features import symbolic_features
+from plumbline.plans.bundle import Bundle
 from plumbline.session import cut
 from plumbline.sources.tables import union_all
 
@@ -23,10 +26,17 @@ def weak_labels(raw: DataFrame, epochs: int = 500) -> DataFrame:
     """
     cleaned = cleaning.preprocess(raw)
     votes = cut(labeling.apply_functions(cleaned, keep=cleaned.columns))
-    mu = label_model.fit(label_model.moments(labeling.vote_patterns(votes)), epochs=epochs)
+    mu = fit_label_model(labeling.vote_patterns(votes), epochs)
     return label_model.label_rows(cleaned, votes, label_model.fitted_log_odds(mu))
 
 
+def fit_label_model(patterns: DataFrame, epochs: int = 500):
+    """Conditional vote probabilities from vote patterns, which are stored once."""
+    patterns = cut(patterns)
+    n_rows = patterns.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return label_model.fit(label_model.moments(patterns), epochs=epochs, n_rows=n_rows)
+
+
 def labeled_by_assumption(raw: DataFrame) -> DataFrame:
     """Clean, vote and label with the assumed accuracies: one projection, nothing fitted."""
     cleaned = cleaning.preprocess(raw)
@@ -77,6 +87,20 @@ def funnel(stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
             for i, (name, df) in enumerate(stages)
         ]
     )
+    return _losses(counts)
+
+
+def funnel_of(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
+    """The same report for stages that are conditions on the rows of one frame: one pass over it."""
+    counts = df.agg(*[F.count_if(condition).alias(f"_{i}") for i, (_, condition) in enumerate(stages)])
+    rows = [
+        F.struct(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), F.col(f"_{i}").alias("n"))
+        for i, (name, _) in enumerate(stages)
+    ]
+    return _losses(counts.select(F.inline(F.array(*rows))))
+
+
+def _losses(counts: DataFrame) -> DataFrame:
     before = F.lag("n").over(Window.orderBy("stage_no"))
     return counts.select(
         "stage_no", "stage", "n", F.coalesce(before - F.col("n"), F.lit(0)).alias("lost"),
@@ -90,27 +114,32 @@ def feature_rows(labeled: DataFrame, keep: Sequence[str] = ("idproject",)) -> Da
     return matrix.embed_texts(symbolic_features(encoded), "full_text").drop("full_text")
 
 
-def feature_frame(rows: DataFrame, split: DataFrame, symbolic_weight: int = 1) -> tuple[DataFrame, list[str]]:
-    """(id, y, split, features): symbolic values scaled on the training rows, then the embedding.
+def feature_vectors(rows: DataFrame, scaling: dict[str, tuple[float, float]], keep: Sequence[str], symbolic_weight: int = 1) -> DataFrame:
+    """``keep`` and ``features``: scaled symbolic values, then the embedding.
 
     A ``symbolic_weight`` of 2 repeats the symbolic columns, so that column sampling draws them twice as often.
     """
-    joined = rows.join(split.select("id", "split"), "id")
-    scaled = matrix.scale(joined, joined.filter(F.col("split") == "train"), FEATURE_NAMES)
     symbolic = F.array(*FEATURE_NAMES)
     features = F.concat(symbolic, F.col("embedding"), *[symbolic] * (symbolic_weight - 1))
-    fused = scaled.select("id", "y", "split", features.alias("features"))
-    return training.as_vector(fused), matrix.fused_names(FEATURE_NAMES)
+    return training.as_vector(matrix.scale_by(rows, scaling).select(*keep, features.alias("features")))
 
 
 @dataclass
 class Trained:
-    model: training.BoostedModel
-    calibration: list
-    names: list[str]
+    """A fitted bundle with the rows it was fitted on and the scored test rows."""
+
+    bundle: Bundle
     frame: DataFrame
     test: DataFrame
 
+    @property
+    def model(self) -> training.BoostedModel:
+        return self.bundle.model
+
+    @property
+    def names(self) -> list[str]:
+        return self.bundle.names
+
 
 def train(
     classes: DataFrame, settings: training.BoostingSettings | None = None, stratum: str = "idproject", symbolic_weight: int = 1
@@ -118,20 +147,60 @@ def train(
     """Filter, split, features, boosting with validation, calibration on the validation rows, test scores."""
     # Stored once, as numbers only: splitting, scaling, fitting and scoring all read it.
     rows = cut(feature_rows(cleaning.confident(classes, TRAIN_CONFIDENCE), (stratum,)))
-    frame, names = feature_frame(rows, splits.stratified_split(rows, stratum), symbolic_weight)
-    frame = cut(frame)
+    joined = cut(rows.join(splits.stratified_split(rows, stratum).select("id", "split"), "id"))
+    scaling = matrix.scaling_values(joined.filter(F.col("split") == "train"), FEATURE_NAMES)
+    frame = cut(feature_vectors(joined, scaling, ("id", "y", "split"), symbolic_weight))
+    weights = explaining_weights(joined.filter(F.col("split") != "test"), scaling)
     weighted = splits.sample_weights(frame.filter(F.col("split") != "test"), "y").withColumn("is_val", F.col("split") == "val")
     model = training.fit_boosting(weighted, settings)
     calibration = training.fit_calibration(cut(model.transform(frame.filter(F.col("split") == "val")).select("y", "p0", "p1", "p2")))
     test = model.transform(frame.filter(F.col("split") == "test"))
-    return Trained(model, calibration, names, weighted, test)
+    bundle = Bundle(
+        model, calibration, matrix.fused_names(FEATURE_NAMES), scaling, weights, [list(map(float, r)) for r in COST_MATRIX],
+        symbolic_weight,
+    )
+    return Trained(bundle, weighted, test)
+
+
+def explaining_weights(rows: DataFrame, scaling: dict[str, tuple[float, float]]) -> list[list[float]]:
+    """Weights per class of a linear model on the symbolic features, in units of the raw values."""
+    numbers = matrix.scale_by(rows, scaling).select("id", "y", F.array(*FEATURE_NAMES).alias("features"))
+    coefficients = training.fit_logistic(training.as_vector(numbers)).coefficientMatrix.toArray()
+    deviations = [scaling[f][1] for f in FEATURE_NAMES]
+    found = [[float(w / s) for w, s in zip(row, deviations)] for row in coefficients]
+    return found + [[0.0] * len(FEATURE_NAMES)] * (len(CLASS_LABELS) - len(found))
+
+
+def score(frame: DataFrame, bundle: Bundle, keep: Sequence[str] = ("id", "y")) -> DataFrame:
+    """``keep``, p0..p2, y_pred, risk_level, confidence by calibrated cost-sensitive decision."""
+    raw = cut(bundle.model.transform(frame).select(*keep, "p0", "p1", "p2"))
+    return decisions.risk_decision(training.calibrate(raw, bundle.calibration), bundle.costs).drop("expected_costs")
+
+
+def assess(stories: DataFrame, bundle: Bundle, corpus: DataFrame | None = None, similar: int = 3) -> DataFrame:
+    """One record per story: level, confidence, p0..p2, explanation, similar ids.
+
+    Stories without title, description or points get the fallback record (Medium, 50) with neither explanation nor
+    neighbours.  ``corpus`` (id, embedding) holds the stories to search; without it there are no similar ids.  Texts
+    are read once; only numbers are stored and joined.
+    """
+    cleaned = cleaning.preprocess(stories).select("id", "full_text")
+    rows = cut(matrix.embed_texts(symbolic_features(cleaned), "full_text").drop("full_text"))
+    scored = score(feature_vectors(rows, bundle.scaling, ("id",), bundle.symbolic_weight), bundle, ("id",))
+    means = {f: m for f, (m, _) in bundle.scaling.items()}
+    reasons = explain.with_attributions(rows, FEATURE_NAMES, bundle.weights, means=means)
+    told = explain.explanations(reasons.drop("predicted").join(scored, "id"), decided="y_pred").select("id", "explanation")
+    out = decisions.assessments(scored, stories).join(scored.select("id", "p0", "p1", "p2"), "id", "left").join(told, "id", "left")
+    if corpus is None:
+        return out.withColumn("similar_ids", F.lit(None).cast("array<bigint>"))
+    near = similarity.search(rows.select("id", "embedding"), corpus, similar, others_only=True)
+    found = similarity.similar_ids(near, count=similar).select(F.col("query_id").alias("id"), F.col("ids").alias("similar_ids"))
+    return out.join(found, "id", "left")
 
 
-def score(frame: DataFrame, trained: Trained) -> DataFrame:
-    """(id, y, p0..p2, y_pred, risk_level, confidence) by calibrated cost-sensitive decision."""
-    raw = cut(trained.model.transform(frame).select("id", "y", "p0", "p1", "p2"))
-    calibrated = training.calibrate(raw, trained.calibration)
-    return decisions.risk_decision(calibrated).drop("expected_costs")
+def embedded_corpus(stories: DataFrame) -> DataFrame:
+    """(id, embedding) of complete stories: the table to store once and search with ``assess``."""
+    return matrix.embed_texts(cleaning.preprocess(stories).select("id", "full_text"), "full_text").select("id", "embedding")
 
 
 def training_report(trained: Trained) -> DataFrame:
@@ -158,7 +227,7 @@ def training_report(trained: Trained) -> DataFrame:
     )
 
 
-def ablation_arm(df: DataFrame, seed: int, max_iter: int = 50) -> float:
+def ablation_arm(df: DataFrame, seed: int, max_iter: int = 1000) -> float:
     """Macro F1 of TF-IDF (words and pairs, fitted on the training rows) with logistic regression."""
     encoded = cleaning.encode_labels(df).select("id", "full_text", F.col("risk_class").alias("y"))
     split = splits.label_split(encoded, "y", seed)
@@ -217,6 +286,6 @@ def decision_runs(preds: DataFrame, seeds: Sequence[int] = tuple(ABLATION_SEEDS)
 
 
 __all__ = [
-    "SEED", "Augmented", "Trained", "ablation", "ablation_summary", "augment", "cross_validated", "decision_runs",
-    "feature_frame", "feature_rows", "funnel", "labeled_by_assumption", "score", "train", "training_report", "weak_labels",
+    "SEED", "Augmented", "Bundle", "Trained", "ablation", "ablation_summary", "assess", "augment", "cross_validated",
+    "decision_runs", "embedded_corpus", "feature_rows", "feature_vectors", "funnel", "labeled_by_assumption", "score", "train", "training_report", "weak_labels",
 ]

@@ -58,10 +58,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_STORED: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later steps read stored rows, so a lost executor cannot change them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Store the rows as Parquet in the shared folder and read them back.
+
+    A lost executor cannot change stored rows, and later steps read only the columns they use.  The copies stay until
+    ``release`` is called, because frames built on them are lazy.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    _STORED.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the copies made by ``cut``, once their results have been written; returns their number."""
+    n = len(_STORED)
+    while _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def side_by_side(work: Callable[[T], R], items: Iterable[T]) -> list[R]:

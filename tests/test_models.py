@@ -34,7 +34,7 @@ def neighbours(df, **kw):
     return out
 
 
-@pytest.mark.parametrize("shape", [{}, {"pivots": 7, "block": 20, "chunk": 30}])
+@pytest.mark.parametrize("shape", [{}, {"block": 20}])
 def test_neighbours_with_hot_copies_equal_brute_force(spark, shape):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(6, 8))
@@ -169,7 +169,7 @@ def test_training_flow(spark):
     assert trained.model.importances(spark, trained.names, FEATURE_NAMES).count() == 79
     report = {r["metric"]: r["value"] for r in flows.training_report(trained).collect()}
     assert 0 <= report["accuracy"] <= 1 and report["n"] > 0
-    scored = flows.score(trained.frame, trained)
+    scored = flows.score(trained.frame, trained.bundle)
     assert scored.filter(~F.col("risk_level").isin("Low", "Medium", "High")).count() == 0
 
 
