@@ -9,7 +9,7 @@ at the window borders.  Nothing is shuffled, and a lost executor costs only its
 Defined results: null and empty texts are a document of the end id alone; a document of any length may span sequences;
 repeated documents are packed as often as they occur; extra columns are not looked at; an empty table gives no piece.
 
-Words repeat, so the ids of a word are remembered within a task (at most ``MEMO_WORDS`` entries).  ``by_word`` may only
+Words repeat, so the ids of a word are remembered by each Python worker (about twice ``MEMO_WORDS``).  ``by_word`` may only
 be set for a tokenizer that splits at ASCII white space, drops it, lower-cases, and separates runs of letters from other
 characters, as ``word_bpe_49k.json`` does; otherwise whole texts are encoded.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +32,10 @@ from plumbline.llm.text_blocks import row_slices, stored
 
 CAPACITY = 2048
 END_ID = 1
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 # Letters that no normal form changes, between ASCII characters other than the apostrophe that are no letters.
 _EDGE = r"[!-&(-@\[-`{-~]*"
 _PARTS = re.compile(rf"({_EDGE})([A-Za-zÀ-ÖØ-öø-ÿ]+)({_EDGE})")
-_WHITE = re.compile(r"[\t-\r ]+")
 
 
 class WordIds:
@@ -46,42 +46,76 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
-        self.chunks: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-
-    def _encode(self, units: list[str]) -> None:
-        """Encode new units together, apart by blanks, and give each its ids."""
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.letters: dict[int, str] = {}
+        if by_word:
+            self._learn_letters()
+
+    def _learn_letters(self) -> None:
+        """How the tokenizer's model sees a letter, taken from the library; lower-case letters only."""
+        letters = [chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0x100)) if chr(c).isalpha()]
+        self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+        for word in [*letters, "word", "".join(letters)]:
+            if self._letters(word) != self._whole([word])[0]:
+                raise ValueError("by_word does not suit this tokenizer")
+        parts = [self._letters("ab"), self._letters("cd"), *self._whole([","]), self._letters("ab")]
+        if b"".join(parts) != self._whole(["Ab\tcd, ab"])[0]:
+            raise ValueError("by_word does not suit this tokenizer")
+
+    def _letters(self, word: str) -> bytes:
+        """A run of lower-case letters needs no normalising or splitting and goes to the model at once."""
+        seen = word if word.isascii() else word.translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
+
+    def _whole(self, units: list[str]) -> list[bytes]:
+        """Encode units together, apart by blanks, and give each its ids."""
         if not units:
-            return
+            return []
         found = self.tokenizer.encode(" ".join(units), add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
         begins = np.cumsum([0, *(len(u) + 1 for u in units)])
-        starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
-        cuts = np.searchsorted(starts, begins)
-        for u, a, b in zip(units, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            self.units[u] = ids[a:b].tobytes()
+        cuts = np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(ids)), begins)
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Ids of chunks that are in neither memo.  What was not seen for a while is forgotten first."""
+        if len(self.recent) > MEMO_WORDS:
+            self.older, self.recent = self.recent, {}
+        recent, older, letters = self.recent, self.older, self._letters
+        later: list[tuple[bytes, str, bytes, str]] = []
+        for c in chunks.difference(recent):
+            if (known := older.get(c)) is not None:
+                recent[c] = known
+            elif c.isalpha():  # ASCII letters only
+                recent[c] = letters(c.lower().decode())
+            elif b"<|" not in c and (parts := _PARTS.fullmatch(c.decode())):
+                before, word, after = parts.groups()
+                later.append((c, before, letters(word.lower()), after))
+            else:
+                later.append((c, c.decode(), b"", ""))
+        units = list({u for _, a, _, b in later for u in (a, b) if u})
+        ids = dict(zip(units, self._whole(units), strict=True)) | {"": b""}
+        for c, before, word, after in later:
+            recent[c] = ids[before] + word + ids[after]
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_word:
+            found = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
+            return [array("I", e.ids).tobytes() for e in found]
+        split = [t.split() for t in texts]  # bytes split at ASCII white space only
+        self._learn(set().union(*split))
+        return [b"".join(map(self.recent.__getitem__, chunks)) for chunks in split]
 
-    def _parts(self, chunk: str) -> tuple[str, ...]:
-        match = None if "<|" in chunk else _PARTS.fullmatch(chunk)
-        return (match[1], match[2].lower(), match[3]) if match else (chunk,)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return [
-                np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)
-            ]
-        split = [[c for c in _WHITE.split(t) if c] for t in texts]
-        new = {c for chunks in split for c in chunks}.difference(self.chunks)
-        if len(self.chunks) + len(new) > MEMO_WORDS:
-            self.chunks.clear()
-            self.units.clear()
-            new = {c for chunks in split for c in chunks}
-        parts = {c: self._parts(c) for c in new}
-        self._encode(sorted({u for p in parts.values() for u in p if u}.difference(self.units)))
-        self.units[""] = b""
-        for c, p in parts.items():
-            self.chunks[c] = b"".join([self.units[u] for u in p])
-        return [b"".join([self.chunks[c] for c in chunks]) for chunks in split]
+_ENCODERS: dict[tuple[str, bool], WordIds] = {}
+
+
+def encoder(path: str, by_word: bool) -> WordIds:
+    """One encoder per Python worker, so later tasks find the words of earlier ones."""
+    if (path, by_word) not in _ENCODERS:
+        _ENCODERS[path, by_word] = WordIds(path, by_word)
+    return _ENCODERS[path, by_word]
 
 
 def tokenised(docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str = "text", by_word: bool = False,
@@ -90,11 +124,11 @@ def tokenised(docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str
     id_type = docs.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, before, part = WordIds(tokenizer, by_word), 0, TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        encode, before, part = encoder(tokenizer, by_word), 0, TaskContext.get().partitionId()
+        end = array("I", [end_id]).tobytes()
         for batch in batches:
             for rows in row_slices(batch, text):
-                ids = [x + end for x in encode([t or "" for t in rows.column(text).to_pylist()])]
+                ids = [x + end for x in encode([t or b"" for t in rows.column(text).cast(pa.binary()).to_pylist()])]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 yield pa.record_batch({
                     "id": rows.column(ident),

@@ -25,7 +25,7 @@ def wanted_ids(texts):
 
 
 def test_word_by_word_equals_whole_texts(spark):
-    texts = ODD + [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    texts = [t.encode() for t in ODD] + [r["text"].encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     word_ids, whole = packing.WordIds(PATH, True), packing.WordIds(PATH, False)
     assert word_ids(texts) == whole(texts)
     packing.MEMO_WORDS, before = 10, packing.MEMO_WORDS
