@@ -15,7 +15,7 @@ from plumbline.config import (
 )
 from plumbline.functions.arrays import ratio
 from plumbline.functions.text import (
-    COMPLEX_WORD, LETTERS, NO_VOWEL_WORD, PASSIVE, VOWEL_GROUP, WORD_RUN, bullet_count, matches, occurrences,
+    COMPLEX_WORD, LETTERS, NO_VOWEL_WORD, PASSIVE, VOWEL_GROUP, WORD_CHAR, WORD_RUN, bullet_count, matches, occurrences,
     sentences, total_occurrences, whole_word, word_count,
 )
 
@@ -33,8 +33,10 @@ def symbolic_features(df: DataFrame, text: str = "full_text") -> DataFrame:
         .withColumn("_n_word", matches(low, LETTERS))
         .withColumn("_n_syll", matches(low, VOWEL_GROUP) + matches(low, NO_VOWEL_WORD))
         .withColumn("_n_hard", matches(low, COMPLEX_WORD))
-        .withColumn("_n_func", matches(low, whole_word(FUNCTION_WORDS)))
-        .withColumn("_n_token", matches(low, r"[\p{L}\p{N}_]+"))
+        # One pass cuts the tokens; the list of function words is a hash set, where a pattern of all of them is slow.
+        .withColumn("_tokens", F.regexp_extract_all(low, F.lit(f"({WORD_CHAR}+)")))
+        .withColumn("_n_func", F.size(F.filter("_tokens", lambda w: w.isin(FUNCTION_WORDS))))
+        .withColumn("_n_token", F.size("_tokens"))
     )
     sent, word = F.col("_n_sent"), F.col("_n_word")
     per_sentence = word / sent

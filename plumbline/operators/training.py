@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config import CLASS_LABELS, SEED
 from plumbline.operators.decisions import PROBABILITIES, renormalize
+from plumbline.operators.evaluation import early_stopping_rounds
 from plumbline.session import side_by_side
 from plumbline.sources.tables import union_all
 
@@ -42,7 +43,6 @@ class BoostingSettings:
     row_share: float = 0.7
     column_share: float = 0.4
     step: float = 0.05
-    tolerance: float = 0.0
     seed: int = SEED
     partitions: int = FIT_PARTITIONS
 
@@ -87,24 +87,48 @@ def as_vector(df: DataFrame, column: str = "features") -> DataFrame:
 
 
 def fit_boosting(df: DataFrame, settings: BoostingSettings | None = None) -> BoostedModel:
-    """Expects features (vector), y, weight and is_val.  Validation rows only decide when to stop."""
+    """Expects features (vector), y, weight and is_val.  Validation rows only decide where to stop.
+
+    The loss on the validation rows is measured after every round; if it has not improved for ``early_stopping_rounds``
+    rounds, the trees up to the best round are kept.  Ten rounds or fewer are never cut short.
+    """
     s = settings or BoostingSettings()
     df = spread_by_id(df, s.partitions).persist()
+    patience = early_stopping_rounds(s.rounds)
+    watched = patience is not None and bool(df.filter("is_val").head(1))
 
     def fit_class(k: int) -> GBTClassificationModel:
-        gbt = GBTClassifier(
-            featuresCol="features", labelCol="_label", weightCol="weight", validationIndicatorCol="is_val",
-            maxIter=s.rounds, maxDepth=s.depth, minInstancesPerNode=s.min_rows, maxBins=s.bins,
-            subsamplingRate=s.row_share, featureSubsetStrategy=str(s.column_share), stepSize=s.step,
-            validationTol=s.tolerance, seed=s.seed,
-        )
-        return gbt.fit(df.withColumn("_label", (F.col("y") == k).cast("double")))
+        labelled = df.withColumn("_label", (F.col("y") == k).cast("double"))
+        train = labelled.filter(~F.col("is_val"))
+
+        def of_rounds(rounds: int) -> GBTClassificationModel:
+            return GBTClassifier(
+                featuresCol="features", labelCol="_label", weightCol="weight", maxIter=rounds, maxDepth=s.depth,
+                minInstancesPerNode=s.min_rows, maxBins=s.bins, subsamplingRate=s.row_share,
+                featureSubsetStrategy=str(s.column_share), stepSize=s.step, seed=s.seed,
+            ).fit(train)
+
+        model = of_rounds(s.rounds)
+        kept = rounds_to_keep(model.evaluateEachIteration(labelled.filter("is_val")), patience) if watched else s.rounds
+        # Trees are grown one after the other from the same seed, so fewer rounds give the same first trees.
+        return model if kept == s.rounds else of_rounds(kept)
 
     models = side_by_side(fit_class, range(3))
     df.unpersist()
     return BoostedModel(models, s)
 
 
+def rounds_to_keep(losses: Sequence[float], patience: int) -> int:
+    """The best round once ``patience`` rounds brought nothing better; all rounds if that never happens."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1
+    return len(losses)
+
+
 def learning_curve(model: BoostedModel, df: DataFrame) -> DataFrame:
     """(run, round, split, loss): loss of each one-vs-rest model after every round (rounds x classes rows)."""
     rows = []

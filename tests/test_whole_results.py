@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import session
-from plumbline.operators import explain, label_model, ranking, scope, similarity, splits
+from plumbline.operators import explain, label_model, ranking, scope, similarity, splits, training
 from plumbline.plans import flows
 from plumbline.plans.catalog import REGISTRY
 from plumbline.sources import tables
@@ -120,3 +120,23 @@ def test_stored_copies_are_pruned_and_released(spark):
     assert "ReadSchema: struct<id:bigint>" in plan and kept.count() == 10
     assert session.release(spark) >= 1
     assert session.release(spark) == 0
+
+
+def test_rounds_to_keep():
+    falling = [1.0 - 0.01 * k for k in range(30)]
+    assert training.rounds_to_keep(falling, 3) == 30
+    assert training.rounds_to_keep([3.0, 2.0, 1.0, 1.5, 1.4, 1.3, 0.5], 3) == 3
+    assert training.rounds_to_keep([3.0, 2.0, 2.5, 1.0, 1.1, 1.2], 3) == 6
+
+
+def test_boosting_stops_only_beyond_ten_rounds(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, [float(x) for x in rng.normal(size=3)], int(rng.integers(0, 3)), 1.0, k % 3 == 0) for k in range(240)]
+    df = training.as_vector(spark.createDataFrame(rows, "id long, features array<double>, y int, weight double, is_val boolean"))
+    for rounds in (4, 20):
+        settings = training.BoostingSettings(rounds=rounds, step=0.9, depth=2, partitions=2)
+        model = training.fit_boosting(df, settings)
+        kept = [m.getNumTrees for m in model.models]
+        assert kept == [4] * 3 if rounds == 4 else min(kept) < 20  # random labels: the validation loss rises at once
+        again = training.fit_boosting(df.repartition(7), settings)  # however the rows arrive, the model is the same
+        assert [m.toDebugString.split("\n")[1:] for m in again.models] == [m.toDebugString.split("\n")[1:] for m in model.models]
