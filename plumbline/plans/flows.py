@@ -15,6 +15,7 @@ from plumbline.operators import (
 from plumbline.operators.features import symbolic_features
 from plumbline.plans.bundle import Bundle
 from plumbline.session import cut
+from plumbline.sources import files
 from plumbline.sources.tables import union_all
 
 
@@ -22,10 +23,11 @@ def weak_labels(raw: DataFrame, epochs: int = 500) -> DataFrame:
     """Clean, vote, fit the label model, label.
 
     The votes are stored with their stories: searching the texts again for the second pass would cost more
-    than reading them back.
+    than reading them back.  The full text is not stored, it is put together again from title and description.
     """
     cleaned = cleaning.preprocess(raw)
-    votes = cut(labeling.apply_functions(cleaned, keep=cleaned.columns))
+    votes = cut(labeling.apply_functions(cleaned, keep=cleaned.columns).drop("full_text"))
+    votes = votes.withColumn("full_text", cleaning.full_text())
     mu = fit_label_model(labeling.vote_patterns(votes), epochs)
     return label_model.label_rows(cleaned, votes, label_model.fitted_log_odds(mu))
 
@@ -76,6 +78,18 @@ def augment(raw: DataFrame, epochs: int = 500, threshold: float = CLASS_THRESHOL
     )
 
 
+def save_augmented(stages: Augmented, path: str, run_id: str) -> None:
+    """Write the pruned set (its high-confidence part is a partition of it), the three classes, and rows per stage."""
+    files.write_high_confidence(stages.pruned, f"{path}/labeled", HIGH_CONFIDENCE)
+    stages.classes.write.mode("overwrite").parquet(f"{path}/classes")
+    names = ("raw", "cleaned", "labeled", "pruned", "high_confidence")
+    counted = funnel([(name, getattr(stages, name)) for name in names])
+    long = counted.select("stage", F.col("stage_no").alias("step"), "n", "lost", "kept_pct").unpivot(
+        ["stage", "step"], [F.col(c).cast("double").alias(c) for c in ("n", "lost", "kept_pct")], "metric", "value"
+    )
+    files.append_metrics(long, f"{path}/metrics", run_id)
+
+
 def funnel(stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """(stage_no, stage, n, lost, kept_pct): rows per stage and the loss since the stage before.
 

@@ -11,7 +11,7 @@ from plumbline import session
 from plumbline.operators import explain, label_model, ranking, scope, similarity, splits, training
 from plumbline.plans import flows
 from plumbline.plans.catalog import REGISTRY
-from plumbline.sources import tables
+from plumbline.sources import files, tables
 
 DATA = "/root/testdata/sf0.001"
 
@@ -140,3 +140,15 @@ def test_boosting_stops_only_beyond_ten_rounds(spark):
         assert kept == [4] * 3 if rounds == 4 else min(kept) < 20  # random labels: the validation loss rises at once
         again = training.fit_boosting(df.repartition(7), settings)  # however the rows arrive, the model is the same
         assert [m.toDebugString.split("\n")[1:] for m in again.models] == [m.toDebugString.split("\n")[1:] for m in model.models]
+
+
+def test_augmented_sets_and_funnel_are_written(spark, tmp_path):
+    stages = flows.augment(tables.stories(spark, DATA), epochs=30)
+    flows.save_augmented(stages, str(tmp_path), "run")
+    rows = {(r["stage"], r["metric"]): r["value"] for r in spark.read.parquet(f"{tmp_path}/metrics").collect()}
+    assert files.read_labeled(spark, f"{tmp_path}/labeled").count() == rows["pruned", "n"]
+    assert files.read_labeled(spark, f"{tmp_path}/labeled", True).count() == rows["high_confidence", "n"]
+    order = ("raw", "cleaned", "labeled", "pruned", "high_confidence")
+    for a, b in zip(order, order[1:], strict=False):
+        assert rows[a, "n"] - rows[b, "n"] == rows[b, "lost"]
+    assert spark.read.parquet(f"{tmp_path}/classes").count() == rows["pruned", "n"]
