@@ -693,7 +693,7 @@ def ablation_summary(spark, sf_dir):
 
 @register
 def ablation_run(spark, sf_dir):
-    return flows.ablation_summary(flows.ablation(tables.stories(spark, sf_dir)))
+    return flows.ablation_summary(flows.ablation(tables.stories(spark, sf_dir), seeds=(42, 123), max_iter=50))
 
 
 # --- explanation --------------------------------------------------------------------------------------

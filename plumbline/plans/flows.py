@@ -255,7 +255,9 @@ def ablation_arm(df: DataFrame, seed: int, max_iter: int = 1000) -> float:
     return float(macro)
 
 
-def ablation(raw: DataFrame, seeds: Sequence[int] = tuple(ABLATION_SEEDS), epochs: int = 500) -> DataFrame:
+def ablation(
+    raw: DataFrame, seeds: Sequence[int] = tuple(ABLATION_SEEDS), epochs: int = 500, max_iter: int = 1000
+) -> DataFrame:
     """(config, seed, macro_f1) for unpruned three-class labels, two-class labels and pruned labels."""
     stages = augment(raw, epochs)
     arms = {
@@ -264,7 +266,7 @@ def ablation(raw: DataFrame, seeds: Sequence[int] = tuple(ABLATION_SEEDS), epoch
         "pruned": stages.classes,
     }
     arms = {name: cut(df.select("id", "full_text", "risk_label")) for name, df in arms.items()}
-    rows = [(name, seed, ablation_arm(df, seed)) for name, df in arms.items() for seed in seeds]
+    rows = [(name, seed, ablation_arm(df, seed, max_iter)) for name, df in arms.items() for seed in seeds]
     return raw.sparkSession.createDataFrame(rows, "config string, seed int, macro_f1 double")
 
 
