@@ -32,7 +32,7 @@ from plumbline.llm.text_blocks import row_slices, stored
 
 CAPACITY = 2048
 END_ID = 1
-MEMO_WORDS = 150_000
+MEMO_WORDS = 60_000
 # Letters that no normal form changes, between ASCII characters other than the apostrophe that are no letters.
 _EDGE = r"[!-&(-@\[-`{-~]*"
 _PARTS = re.compile(rf"({_EDGE})([A-Za-zÀ-ÖØ-öø-ÿ]+)({_EDGE})")

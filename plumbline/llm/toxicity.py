@@ -69,30 +69,35 @@ def grams(words: list[bytes]) -> Grams:
     return Grams(codes, word)
 
 
+def find(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Places of codes among sorted keys, -1 where there is none."""
+    if not len(keys):
+        return np.full(len(codes), -1)
+    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+    return np.where(keys[at] == codes, at, -1)
+
+
 @dataclass
 class Model:
-    """Counts by letter stretch.  ``own`` are the counts per class, ``shared`` the continuation counts."""
+    """Counts by letter stretch: per class, and continuations shared by both.  Single precision holds counts exactly."""
 
     keys: np.ndarray
-    own: np.ndarray
-    shared: np.ndarray
-    hist: np.ndarray
+    table: np.ndarray
+    totals: np.ndarray
+    taken: np.ndarray
     weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
     prior: float | None = None
 
-    def __post_init__(self):
-        n = len(self.keys)
-        self.table = np.r_[np.c_[self.own, self.shared], np.zeros((1, 3))]  # the last row, -1, is of unseen stretches
+    @staticmethod
+    def of(keys: np.ndarray, own: np.ndarray, shared: np.ndarray, hist: np.ndarray) -> Model:
+        """From counts per class, continuation counts, and the place of each stretch's context."""
+        n, counts = len(keys), np.c_[own, shared]
+        table = np.r_[counts, np.zeros((1, 3))].astype(np.float32)  # the last row, -1, is of unseen stretches
         # Slots behind the stretches: the empty context, unseen contexts, and what stands before a word's beginning.
-        at = np.where(self.hist >= 0, self.hist, np.where(self.hist == NO_CONTEXT, n, n + 2))
-        self.totals = np.stack([np.bincount(at, c, n + 3) for c in (*self.own.T, self.shared)])
-        self.taken = np.stack([np.bincount(at, np.minimum(c, DISCOUNT), n + 3) for c in (*self.own.T, self.shared)])
-
-    def find(self, codes: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(codes), -1)
-        at = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
-        return np.where(self.keys[at] == codes, at, -1)
+        at = np.where(hist >= 0, hist, np.where(hist == NO_CONTEXT, n, n + 2))
+        totals = np.stack([np.bincount(at, c, n + 3) for c in counts.T]).astype(np.float32)
+        taken = np.stack([np.bincount(at, np.minimum(c, DISCOUNT), n + 3) for c in counts.T]).astype(np.float32)
+        return Model(keys, table, totals, taken)
 
     def evidence(self, words: list[bytes]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary)."""
@@ -104,7 +109,7 @@ class Model:
         own = [low, low]
         context = np.full(size, len(self.keys))
         for k in range(ORDER):
-            found = self.find(g.codes[k])
+            found = find(self.keys, g.codes[k])
             known = g.codes[k] != 0
             counts = self.table[found]
             for y in (0, 1):
@@ -189,12 +194,11 @@ def _model(rows: dict[str, np.ndarray], without: int | None = None) -> Model:
     code, hist, suffix, own = (x[seen] for x in (rows["code"], rows["hist"], rows["suffix"], own))
     order = np.argsort(code)
     code, hist, suffix, own = code[order], hist[order], suffix[order], own[order]
-    model = Model(code, own, np.zeros(len(code)), np.full(len(code), NO_CONTEXT))
     # Continuations: how many longer stretches end in this one; what begins a word cannot be longer.
-    at = model.find(suffix)
+    at = find(code, suffix)
     longer = np.bincount(at[at >= 0], minlength=len(code)).astype(float)
     shared = np.where(longer > 0, longer, own.sum(axis=1))
-    return Model(code, own, shared, np.where(hist <= 1, NO_CONTEXT - hist.astype(int), model.find(hist)))
+    return Model.of(code, own, shared, np.where(hist <= 1, NO_CONTEXT - hist.astype(int), find(code, hist)))
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -217,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     rows, sizes = labelled_sample(docs, labels, ident, text, label, per_class)
     if len(sizes) < 2:
         nothing = np.zeros(0, np.uint64)
-        model = Model(nothing, np.zeros((0, 2)), np.zeros(0), np.zeros(0, np.int64))
+        model = Model.of(nothing, np.zeros((0, 2)), np.zeros(0), np.zeros(0, np.int64))
         model.prior = float(1 in sizes)
         return model
     fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int").alias("fold")
