@@ -8,9 +8,9 @@ parent, and all parents share the root, whose base is uniform over the dishes.
 restaurant over all rarer words of the corpus, whose base is continuous: every word sits at one table, and what the
 discount leaves is the probability of any unknown word.
 
-Seating is sampled by Gibbs: given the predictive distribution of its parent, every restaurant is seated customer by
-customer (large groups in steps of an eighth), then customers are taken out and seated again; tables are the customers
-of the parent.  The predictive probabilities of several samples are averaged.  A text's score is the sum of the log10
+Seating is sampled by Gibbs: given the predictive distribution of its parent, every sweep draws the tables of all dishes
+from their exact conditional (``seating``) and goes on from the last one's state, which is one mass per restaurant; the
+first one starts from customers seated one by one and repeats that ``MOVES`` times.  Tables are the customers of the parent.  The predictive probabilities of several samples are averaged.  A text's score is the sum of the log10
 probabilities of its tokens; all probabilities of one context add up to 1.
 
 What grows with the corpus stays in Spark: word counts are a distributed table.  Bounded and broadcast are the counts
@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.seating import DISCOUNT, STRENGTH, draw, draw_mass
 from plumbline.llm.text_blocks import row_slices, split_words, stored, text_bytes, word_hashes
 
 DISHES = 8192
@@ -41,8 +42,6 @@ CACHED = 1 << 20
 BURN_IN = 2
 SAMPLES = 3
 MOVES = 6
-STRENGTH = 5.0
-DISCOUNT = 0.8
 END = np.uint64(1)
 FLUSH = 1 << 20
 
@@ -179,7 +178,7 @@ def count_contexts(texts: DataFrame, served: Menu) -> DataFrame:
 
 
 def seat(customers: np.ndarray, parent: np.ndarray, rng: np.random.Generator, moves: int = MOVES) -> np.ndarray:
-    """Tables of each dish in one restaurant, given its customers and the parent's probability of each dish."""
+    """Tables of each dish in one restaurant, seated customer by customer: where the chain of ``reseat`` begins."""
     n, t = np.ones(len(customers), np.int64), np.ones(len(customers), np.int64)
     sizes, owner = [np.ones(len(customers), np.int64)], [np.arange(len(customers))]
     while (open_ := np.flatnonzero(n < customers)).size:
@@ -218,20 +217,35 @@ def seat(customers: np.ndarray, parent: np.ndarray, rng: np.random.Generator, mo
     return np.bincount(who, minlength=len(customers))
 
 
+def reseat(customers: np.ndarray, parent: np.ndarray, rng: np.random.Generator, mass: float | None = None) -> np.ndarray:
+    """Tables of each dish in one restaurant, given its customers and the parent's probability of each dish, all drawn
+    anew from their conditional.  The chain goes on from ``mass``; without one it begins here, with ``MOVES`` moves."""
+    moves = 1
+    if mass is None:
+        mass, moves = float(draw_mass(seat(customers, parent, rng).sum(), rng)), MOVES
+    for k in range(moves):
+        if k:
+            mass = float(draw_mass(tables.sum(), rng))
+        tables = draw(customers, mass * parent, rng)
+    return tables
+
+
 def predictive(customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
     """Probability of each dish; rows of arrays are restaurants."""
     all_customers, all_tables = customers.sum(axis=-1, keepdims=True), tables.sum(axis=-1, keepdims=True)
     return (customers - DISCOUNT * tables + (STRENGTH + DISCOUNT * all_tables) * parent) / (STRENGTH + all_customers)
 
 
-def _seat_rows(parents, seed: int):
+def _seat_rows(state, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for x, dish, c in zip(*(batch.column(k) for k in ("x", "dish", "c")), strict=True):
                 x, dish, c = x.as_py(), np.array(dish.values), np.array(c.values)
                 rng = np.random.default_rng([seed, x])
-                rows.append((x, dish, seat(c, parents.value[x // (FAR + 1)][dish], rng)))
+                parents, masses = state.value
+                mass = None if masses is None else masses[x]
+                rows.append((x, dish, reseat(c, parents[x // (FAR + 1)][dish], rng, mass)))
             yield pa.record_batch({
                 "x": pa.array([r[0] for r in rows], pa.int64()),
                 "dish": pa.array([r[1] for r in rows], pa.list_(pa.int64())),
@@ -254,8 +268,9 @@ def average_predictive(pairs: DataFrame, width: int, burn_in: int = BURN_IN, sam
     root = (customers.sum(axis=0) + 1.0) / (customers.sum() + width)
     parents = np.tile(root, (NEAR + 1, 1))
     total = np.zeros((CONTEXTS, width))
+    masses, up_masses, top_mass = None, [None] * (NEAR + 1), None
     for sweep in range(burn_in + samples):
-        shared = spark.sparkContext.broadcast(parents)
+        shared = spark.sparkContext.broadcast((parents, masses))
         tables = np.zeros((CONTEXTS, width), np.int32)
         for r in rows.mapInArrow(_seat_rows(shared, sweep), "x long, dish array<long>, t array<long>").toArrow().to_batches():
             for x, dish, t in zip(*(r.column(k) for k in ("x", "dish", "t")), strict=True):
@@ -265,13 +280,17 @@ def average_predictive(pairs: DataFrame, width: int, burn_in: int = BURN_IN, sam
         up = tables.reshape(NEAR + 1, FAR + 1, width).sum(axis=1)
         up_tables = np.zeros_like(up)
         rng = np.random.default_rng([sweep, CONTEXTS])
+        # What the next sweep goes on from: the mass of each restaurant, given its tables.
+        masses = draw_mass(tables.sum(axis=1), rng)
         for a in range(NEAR + 1):
             at = np.flatnonzero(up[a])
-            up_tables[a, at] = seat(up[a, at], root[at], rng)
+            up_tables[a, at] = reseat(up[a, at], root[at], rng, up_masses[a])
+            up_masses[a] = float(draw_mass(up_tables[a].sum(), rng))
         top = up_tables.sum(axis=0)
         top_tables, at = np.zeros_like(top), np.flatnonzero(top)
         flat = np.full(width, 1 / width)
-        top_tables[at] = seat(top[at], flat[at], rng)
+        top_tables[at] = reseat(top[at], flat[at], rng, top_mass)
+        top_mass = float(draw_mass(top_tables.sum(), rng))
         root = predictive(top, top_tables, flat)
         parents = predictive(up, up_tables, root)
         if sweep >= burn_in:
