@@ -1,21 +1,27 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Tokens are words (runs of bytes other than ASCII white space, lower-cased in ASCII) and one end per document.  All
-training tokens are counted exactly.  The ``DISHES`` most frequent words, the end and "some rarer word" are the dishes
-of the context restaurants.  A restaurant's context is the last frequent function word (one of the ``NEAR`` most
-frequent words) and the one before it (one of the ``FAR`` most frequent); restaurants with the same last word share a
-parent, and all parents share the root, whose base is uniform over the dishes.  A rarer word is drawn from a Pitman-Yor
-restaurant over all rarer words of the corpus, whose base is continuous: every word sits at one table, and what the
-discount leaves is the probability of any unknown word.
+Tokens are words (runs of bytes other than ASCII white space, lower-cased in ASCII) and one end per document.  Every
+word, and the start of a document, is the context of the token after it and has a restaurant of its own.  All pairs of
+a context and a token are counted exactly, in a distributed table that grows with the corpus.  Who opens a table there
+orders from the parent: a distribution over all words that depends on the place in the document, as follows.
+
+The ``DISHES`` most frequent words, the end and "some rarer word" are the dishes of restaurants for the last frequent
+function word (one of the ``NEAR`` most frequent words) and the one before it (one of the ``FAR`` most frequent);
+restaurants with the same last word share a parent, and all parents share the root, whose base is uniform over the
+dishes.  These are fitted to all tokens first and then held.  A rarer word is drawn from a Pitman-Yor restaurant over
+all rarer words of the corpus, whose base is continuous: every word sits at one table, and what the discount leaves is
+the probability of any unknown word.
 
 Seating is sampled by Gibbs: given the predictive distribution of its parent, every sweep draws the tables of all dishes
 from their exact conditional (``seating``) and goes on from the last one's state, which is one mass per restaurant; the
 first one starts from customers seated one by one and repeats that ``MOVES`` times.  Tables are the customers of the parent.  The predictive probabilities of several samples are averaged.  A text's score is the sum of the log10
 probabilities of its tokens; all probabilities of one context add up to 1.
 
-What grows with the corpus stays in Spark: word counts are a distributed table.  Bounded and broadcast are the counts
-of the ``CACHED`` most frequent words at most, and the averaged table of contexts by dishes.  Tokens outside that cache
-are joined with the count table.  Words are told apart by 64-bit codes.
+What grows with the corpus stays in Spark: counts of words, and customers and tables of pairs, are distributed tables
+that meet the tokens in joins.  Restaurants of up to ``WIDE`` distinct words are seated within a task; the rows of wider
+ones are dealt over all tasks, and only their total tables reach the driver (one number per ``WIDE`` rows at most).
+Bounded and broadcast are the counts and restaurant totals of the ``CACHED`` most frequent words at most, and the
+averaged table of function words by dishes.  Words are told apart by 64-bit codes.
 
 Defined results: a null or empty text is its end alone; without training documents every probability is 1 (score 0);
 repeated documents are counted and scored as often as they occur; other columns may have any names.
@@ -24,7 +30,7 @@ repeated documents are counted and scored as often as they occur; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.seating import DISCOUNT, STRENGTH, draw, draw_mass
-from plumbline.llm.text_blocks import row_slices, split_words, stored, text_bytes, word_hashes
+from plumbline.llm.text_blocks import mixed, row_slices, split_words, stored, text_bytes, word_hashes
 
 DISHES = 8192
 NEAR = 64
@@ -43,6 +49,8 @@ BURN_IN = 2
 SAMPLES = 3
 MOVES = 6
 END = np.uint64(1)
+START = np.uint64(2)
+WIDE = 4096
 FLUSH = 1 << 20
 
 
@@ -300,6 +308,152 @@ def average_predictive(pairs: DataFrame, width: int, burn_in: int = BURN_IN, sam
     return total / samples
 
 
+# --- pairs ---------------------------------------------------------------------------------------------------
+
+
+def _before(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word before each token."""
+    v = np.r_[START, codes[:-1]]
+    v[first[:-1]] = START
+    return v
+
+
+def _pair_code(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(v * np.uint64(0x9E3779B97F4A7C15) + mixed(w))
+
+
+def count_pairs(texts: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """(v, w, c, h) of all pairs of neighbours: their number, and the mean probability of w at the parent."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        names = ("v", "w", "lost", "c", "h")
+        kept: list[np.ndarray] = []
+
+        def rows() -> pa.RecordBatch:
+            return pa.record_batch({k: pa.array(x.view(np.int64) if k in ("v", "w") else x) for k, x in zip(names, kept, strict=True)})
+
+        for batch in batches:
+            for part in row_slices(batch, "text"):
+                codes, first = tokens(*text_bytes(part, "text"))
+                h, lost = m.parent(codes, first)
+                fresh_ = [_before(codes, first), codes, lost, np.ones(len(codes), np.int64), h]
+                v, w, lost, c, h = (np.concatenate(x) for x in zip(kept, fresh_, strict=True)) if kept else fresh_
+                _, at, inverse = np.unique(_pair_code(v, w), return_index=True, return_inverse=True)
+                kept = [v[at], w[at], lost[at], np.bincount(inverse, c, len(at)).astype(np.int64), np.bincount(inverse, h, len(at))]
+                if len(at) > FLUSH:
+                    yield rows()
+                    kept = []
+        if kept:
+            yield rows()
+
+    found = texts.mapInArrow(run, "v long, w long, lost boolean, c long, h double").groupBy("v", "w")
+    found = stored(found.agg(F.max("lost").alias("lost"), F.sum("c").alias("c"), (F.sum("h") / F.sum("c")).alias("h")), "lm-pairs")
+    return _with_rare(found, model, counts, "h").drop("lost")
+
+
+def _with_rare(rows: DataFrame, model: Model, counts: DataFrame, h: str) -> DataFrame:
+    """Words outside the cache get their probability among the rarer words from the table of counts."""
+    rare = counts.where(F.col("c") < model.known.cached_from).select(F.col("h").alias("w2"), F.col("c").alias("c2"))
+    lost = rows.where("lost").join(rare, F.col("w") == F.col("w2"), "left")
+    factor = F.pow(F.lit(10.0), _log_rare(model, F.coalesce("c2", F.lit(0))))
+    scaled = F.col(h) * factor if h == "h" else F.transform(h, lambda x: x * factor)
+    return rows.where("NOT lost").unionByName(lost.withColumn(h, scaled).select(*rows.columns))
+
+
+def _segments(v: np.ndarray) -> tuple[np.ndarray, int]:
+    which = np.cumsum(np.r_[False, v[1:] != v[:-1]])
+    return which, int(which[-1]) + 1 if len(v) else 0
+
+
+def _rng(sweep: int, *columns: np.ndarray) -> np.random.Generator:
+    """The same rows get the same draws when a task is repeated."""
+    return np.random.default_rng([sweep, *(int(np.bitwise_xor.reduce(x.view(np.uint64))) for x in columns)])
+
+
+def _seat_narrow(burn_in: int, samples: int):
+    """Whole chains of the restaurants of a task, whose rows come ordered by restaurant."""
+
+    def chain(part: pa.Table) -> pa.RecordBatch:
+        v, w, c, h = (part.column(k).to_numpy() for k in ("v", "w", "c", "h"))
+        which, n = _segments(v)
+        rng, total = _rng(0, v, w), np.zeros(len(v))
+        tables = np.minimum(c, 1)
+        for sweep in range(MOVES + burn_in + samples):
+            mass = draw_mass(np.bincount(which, tables, n), rng)
+            tables = draw(c, mass[which] * h, rng)
+            if sweep >= MOVES + burn_in:
+                total += tables
+        return pa.record_batch({"v": v, "w": w, "c": c, "t": total / samples})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            v = batch.column("v").to_numpy()
+            cut = np.flatnonzero(v[1:] != v[:-1])
+            # The last restaurant may go on in the next batch.
+            stop = int(cut[-1]) + 1 if len(cut) else 0
+            if stop == 0 and waiting and len(v) and waiting[-1].column("v")[-1].as_py() != v[0]:
+                yield chain(pa.Table.from_batches(waiting))
+                waiting = []
+            elif stop:
+                yield chain(pa.Table.from_batches([*waiting, batch.slice(0, stop)]))
+                waiting = []
+            if len(v) > stop:
+                waiting.append(batch.slice(stop))
+        if waiting:
+            yield chain(pa.Table.from_batches(waiting))
+
+    return run
+
+
+def _seat_wide(pairs: DataFrame, burn_in: int, samples: int) -> DataFrame:
+    """Restaurants whose rows are dealt over many tasks: given its mass, a restaurant's dishes are independent."""
+    spark = pairs.sparkSession
+    start = pairs.groupBy("v").agg(F.count("*").alias("n")).toArrow()
+    codes, tables = (start.column(k).to_numpy() for k in ("v", "n"))
+    order = np.argsort(codes)
+    codes, tables, masses = codes[order], tables[order].astype(float), []
+
+    def step(kept: list[np.ndarray], seed: int, whole: bool) -> DataFrame:
+        shared = spark.sparkContext.broadcast((codes, kept))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, every = shared.value
+            sums = np.zeros(len(known))
+            for batch in batches:
+                v, w, c, h = (batch.column(k).to_numpy() for k in ("v", "w", "c", "h"))
+                at, rng = np.searchsorted(known, v), _rng(seed, v, w)
+                t = sum(draw(c, mass[at] * h, rng) for mass in every) / len(every)
+                if whole:
+                    yield pa.record_batch({"v": v, "w": w, "c": c, "t": t})
+                sums += np.bincount(at, t, len(known))
+            if not whole:
+                yield pa.record_batch({"v": known, "t": sums})
+
+        return pairs.mapInArrow(run, "v long, w long, c long, t double" if whole else "v long, t double")
+
+    rng = np.random.default_rng(0)
+    for sweep in range(MOVES + burn_in + samples if len(codes) else 0):
+        mass = draw_mass(tables, rng)
+        masses.append(mass)
+        if sweep + 1 < MOVES + burn_in + samples:
+            found = step([mass], sweep, False).groupBy("v").agg(F.sum("t").alias("t")).toArrow()
+            tables = found.column("t").to_numpy()[np.argsort(found.column("v").to_numpy())]
+    return step(masses[-samples:] or [np.zeros(0)], MOVES + burn_in + samples, True)
+
+
+def seat_pairs(pairs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, wide: int = WIDE) -> DataFrame:
+    """(v, w, c, t): customers of each dish and the mean number of their tables."""
+    broad = F.broadcast(stored(pairs.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > wide).select("v"), "lm-wide"))
+    schema = "v long, w long, c long, t double"
+    narrow = pairs.join(broad, "v", "left_anti").repartition("v").sortWithinPartitions("v")
+    rest = stored(pairs.join(broad, "v", "left_semi").repartition("v", "w"), "lm-wide-rows")
+    seated = narrow.mapInArrow(_seat_narrow(burn_in, samples), schema).unionByName(_seat_wide(rest, burn_in, samples))
+    return stored(seated, "lm-seated")
+
+
 # --- scores --------------------------------------------------------------------------------------------------
 
 
@@ -310,6 +464,28 @@ class Model:
     log_dish: np.ndarray
     rare_tokens: int
     rare_types: int
+    # Restaurants of cached words: their codes, customers and tables.
+    before: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    totals: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
+    pairs: DataFrame | None = None
+    restaurants: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"pairs": None, "restaurants": None}  # frames stay on the driver
+
+    def places(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words in the cache, and whether they are there."""
+        at = np.minimum(np.searchsorted(self.known.codes, codes), max(0, len(self.known.codes) - 1))
+        return at, self.known.codes[at] == codes if len(self.known.codes) else np.zeros(len(codes), bool)
+
+    def parent(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each token at the parent, and which still lack the share among rarer words."""
+        dishes = self.served.dishes(codes)
+        value = 10.0 ** self.log_dish[self.served.contexts(dishes, first), dishes].astype(float)
+        at, hit = self.places(codes)
+        rare = dishes == self.served.rare
+        value[hit & rare] *= 10.0 ** self.log_rare(self.known.counts[at[hit & rare]])
+        return value, ~hit & rare & (codes != END)
 
     def log_rare(self, c: np.ndarray) -> np.ndarray:
         """log10 probability of a word outside the menu, given that it is one."""
@@ -320,7 +496,8 @@ class Model:
         return np.log10((c + 0.5) / (self.known.tokens + 0.5 * (self.known.types + 1)))
 
 
-def fit(texts: DataFrame, text: str = "text", dishes: int = DISHES, cached: int = CACHED) -> tuple[Model, DataFrame]:
+def fit(texts: DataFrame, text: str = "text", dishes: int = DISHES, cached: int = CACHED,
+        wide: int = WIDE) -> tuple[Model, DataFrame]:
     """The model of all rows of ``texts``, and the counts of all words."""
     texts = texts.select(F.col(text).alias("text"))
     counts = count_words(texts)
@@ -336,7 +513,15 @@ def fit(texts: DataFrame, text: str = "text", dishes: int = DISHES, cached: int
     else:
         table = np.ones((CONTEXTS, 1))
     log_dish = np.log10(table).astype(np.float32)
-    return Model(known, served, log_dish, known.tokens - n_menu, known.types - types_menu), counts
+    model = Model(known, served, log_dish, known.tokens - n_menu, known.types - types_menu)
+    model.pairs = seat_pairs(count_pairs(texts, model, counts), wide=wide)
+    model.restaurants = stored(model.pairs.groupBy("v").agg(F.sum("c").alias("n"), F.sum("t").alias("tables")), "lm-restaurants")
+    # A word is as often a context as it occurs, so these are the cached words, and the start.
+    top = model.restaurants.where((F.col("n") >= known.cached_from) | (F.col("v") == int(START))).toArrow()
+    order = np.argsort(top.column("v").to_numpy())
+    model.before = top.column("v").to_numpy()[order]
+    model.totals = np.stack([top.column(k).to_numpy()[order].astype(float) for k in ("n", "tables")])
+    return model, counts
 
 
 def _score(model, ident: str, text: str):
@@ -348,13 +533,8 @@ def _score(model, ident: str, text: str):
                 codes, first = tokens(*text_bytes(part, text))
                 docs = part.num_rows
                 of = np.repeat(np.arange(docs), np.diff(first))
-                dishes = m.served.dishes(codes)
-                value = m.log_dish[m.served.contexts(dishes, first), dishes].astype(float)
-                at = np.minimum(np.searchsorted(m.known.codes, codes), max(0, len(m.known.codes) - 1))
-                hit = m.known.codes[at] == codes if len(m.known.codes) else np.zeros(len(codes), bool)
+                at, hit = m.places(codes)
                 c = np.where(hit, m.known.counts[at], 0) if len(m.known.codes) else np.zeros(len(codes), int)
-                rare = dishes == m.served.rare
-                value[hit & rare] += m.log_rare(c[hit & rare])
                 base = np.where(hit, m.log_base(c), 0.0)
                 lost = codes[~hit].view(np.int64)
                 cuts = np.searchsorted(of[~hit], np.arange(docs + 1)).astype(np.int32)
@@ -364,19 +544,73 @@ def _score(model, ident: str, text: str):
                     "n_tokens": pa.array(np.diff(first)),
                     "n_known": pa.array(np.bincount(of[hit], minlength=docs)),
                     "base": pa.array(np.bincount(of, base, docs)),
-                    "score": pa.array(np.bincount(of, value, docs)),
                     "lost": pa.ListArray.from_arrays(pa.array(cuts), pa.array(lost)),
+                    "text": part.column(text),
                 })
                 row += docs
 
     return run
 
 
+def _ask(model):
+    """Tokens by pair, with the documents that have them and their probabilities at the parent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        kept: list[list[np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            v, w, lost, of, h = (np.concatenate(x) for x in zip(*kept, strict=True))
+            code = _pair_code(v, w)
+            order = np.argsort(code, kind="stable")
+            v, w, lost, of, h, code = (x[order] for x in (v, w, lost, of, h, code))
+            at = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            cuts = pa.array(np.r_[at, len(code)].astype(np.int32))
+            v = v[at].view(np.int64)
+            near = np.minimum(np.searchsorted(m.before, v), max(0, len(m.before) - 1))
+            met = m.before[near] == v if len(m.before) else np.zeros(len(v), bool)
+            n, tables = (np.where(met, x[near], 0.0) if len(m.before) else np.zeros(len(v)) for x in m.totals)
+            return pa.record_batch({
+                "v": v, "w": w[at].view(np.int64), "lost": lost[at], "met": met, "n": n, "tables": tables,
+                "rows": pa.ListArray.from_arrays(cuts, pa.array(of)), "hs": pa.ListArray.from_arrays(cuts, pa.array(h)),
+            })
+
+        for batch in batches:
+            numbers = batch.column("row").to_numpy()
+            begin = 0
+            for part in row_slices(batch, "text"):
+                codes, first = tokens(*text_bytes(part, "text"))
+                h, lost = m.parent(codes, first)
+                of = np.repeat(numbers[begin : begin + part.num_rows], np.diff(first))
+                begin += part.num_rows
+                kept.append([_before(codes, first), codes, lost, of, h])
+                if sum(len(x[0]) for x in kept) > FLUSH:
+                    yield rows()
+                    kept = []
+        if kept:
+            yield rows()
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of log10 probabilities by document."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c, t, n, tables = (batch.column(k).to_numpy() for k in ("c", "t", "n", "tables"))
+        hs, rows = batch.column("hs"), batch.column("rows").flatten().to_numpy()
+        of = np.repeat(np.arange(batch.num_rows), np.diff(hs.offsets.to_numpy()))
+        p = (c - DISCOUNT * t)[of] + (STRENGTH + DISCOUNT * tables)[of] * hs.flatten().to_numpy()
+        docs, inverse = np.unique(rows, return_inverse=True)
+        yield pa.record_batch({"row2": docs, "s": np.bincount(inverse, np.log10(p / (STRENGTH + n[of])), len(docs))})
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every document."""
     spark = docs.sparkSession
     id_type = docs.schema[ident].dataType.simpleString()
-    schema = f"row long, id {id_type}, n_tokens long, n_known long, base double, score double, lost array<long>"
+    schema = f"row long, id {id_type}, n_tokens long, n_known long, base double, lost array<long>, text string"
     shared = spark.sparkContext.broadcast(model)
     first = stored(docs.select(ident, text).mapInArrow(_score(shared, ident, text), schema), "lm-first")
     # Words outside the cache meet the table of counts; only their sums come back to the documents.
@@ -387,16 +621,26 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, ident: str = "doc_id
         "row",
         F.when(c > 0, F.col("n")).otherwise(0).alias("k"),
         (F.col("n") * F.log10((c + 0.5) / (model.known.tokens + 0.5 * (model.known.types + 1)))).alias("b"),
-        F.when(F.col("h") != int(END), F.col("n") * _log_rare(model, c)).otherwise(0.0).alias("s"),
     )
-    more = found.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("k", "b", "s")]).withColumnRenamed("row", "row2")
-    met = first.drop("lost").join(more, F.col("row") == F.col("row2"), "left")
-    return met.select(
+    more = found.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("k", "b")]).withColumnRenamed("row", "row3")
+    # Every token meets the restaurant of the word before it.
+    schema = "v long, w long, lost boolean, met boolean, n double, tables double, rows array<long>, hs array<double>"
+    pairs = stored(first.select("row", "text").mapInArrow(_ask(shared), schema), "lm-asked")
+    pairs = _with_rare(pairs, model, counts, "hs")
+    totals = model.restaurants.select("v", F.col("n").alias("n2"), F.col("tables").alias("tables2"))
+    far = pairs.where("NOT met").join(totals, "v", "left")
+    far = far.withColumns({k: F.coalesce(f"{k}2", F.lit(0.0)) for k in ("n", "tables")}).select(*pairs.columns)
+    met = pairs.where("met").unionByName(far).join(model.pairs, ["v", "w"], "left")
+    met = met.select(F.coalesce("c", F.lit(0)).cast("double").alias("c"), F.coalesce("t", F.lit(0.0)).alias("t"), "n", "tables", "rows", "hs")
+    sums = met.mapInArrow(_answer, "row2 long, s double").groupBy("row2").agg(F.sum("s").alias("score"))
+    whole = first.drop("lost", "text").join(sums, F.col("row") == F.col("row2"), "left")
+    whole = whole.join(more, F.col("row") == F.col("row3"), "left")
+    return whole.select(
         "id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
+        "score",
     )
 
 

@@ -109,3 +109,23 @@ def test_edge_cases(spark, edge, empty):
     nothing, none = py.fit(empty)
     assert {(r["score"], r["base_score"], r["n_known"]) for r in py.score(edge.limit(3), nothing, none).collect()} <= {(0.0, 0.0, 0)}
     assert py.perplexity(py.score(edge, model, counts)).first()[0] > 1
+
+
+@pytest.mark.parametrize(("wide", "cached"), [(py.WIDE, py.CACHED), (3, 60)])
+def test_every_word_before_has_its_own_restaurant(spark, wide, cached):
+    """Pairs of content words count: "kNa" is followed by "kNb" only, whatever the frequent words around them."""
+    train = [(k, f"the of the k{k % 90}a k{k % 90}b of the") for k in range(720)]
+    model, counts = py.fit(spark.createDataFrame(train, "doc_id long, text string"), cached=cached, wide=wide)
+    found = {(r["v"], r["w"]): r for r in model.pairs.collect()}
+    wanted = Counter(p for _, text in train for p in zip(["<s>", *tokens(text)], tokens(text), strict=False))
+    assert Counter(r["c"] for r in found.values()) == Counter(wanted.values())
+    assert all(1 <= r["t"] <= r["c"] for r in found.values())
+    docs = spark.createDataFrame([(1, "the of the k7a k7b of the"), (2, "the of the k7a k8b of the"), (3, "zz k7b")], "doc_id long, text string")
+    score = {r["id"]: r["score"] for r in py.score(docs, model, counts).collect()}
+    assert score[1] > score[2] + 1 and math.isfinite(score[3])
+    # All continuations of a context: the seen ones and what is left for the parent add up to 1.
+    total = model.restaurants.collect()
+    for r in total[:20]:
+        own = [x for x in found.values() if x["v"] == r["v"]]
+        left = py.STRENGTH + py.DISCOUNT * r["tables"]
+        assert sum(x["c"] - py.DISCOUNT * x["t"] for x in own) + left == pytest.approx(py.STRENGTH + r["n"])
