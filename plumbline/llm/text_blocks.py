@@ -73,7 +73,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, ident: str, text: str, l
     the texts, so no text is shuffled.  Equal labels of one document count once.
     """
     spread = F.pmod(F.xxhash64(F.lit("sample"), text), F.lit(1_000_000)).alias("spread")
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(ident).alias("label_id"), F.col(label).cast("int").alias("y"))
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(ident).alias("label_id"), F.col(label).cast("int").alias("y")).distinct()
     slim = docs.select(F.col(ident).alias("id"), spread).join(known, F.col("id") == F.col("label_id"))
     slim = stored(slim.select("id", "spread", "y"), "labelled")
     sizes = {r["y"]: r["n"] for r in slim.groupBy("y").agg(F.count("*").alias("n")).collect()}

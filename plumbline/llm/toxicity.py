@@ -11,7 +11,8 @@ strongest word; a logistic curve fitted on documents that were left out of the c
 score.
 
 The model is fitted on a bounded sample of labelled rows: about ``per_class`` documents of each class, chosen by the
-hash of the text.  Its size is bounded by that sample, and it is broadcast.
+hash of the text.  Its size is bounded by that sample, and it is broadcast.  The curve weights the points by the inverse
+share of their class in the sample, so a score means the same whatever the number of labelled rows.
 
 Defined results: null and empty texts are scored like a text without evidence; labels that are null or refer to no
 document are not used; several labels of one document count each; without labels of both classes every score is the
@@ -201,13 +202,17 @@ def _model(rows: dict[str, np.ndarray], without: int | None = None) -> Model:
     return Model.of(code, own, shared, np.where(hist <= 1, NO_CONTEXT - hist.astype(int), find(code, hist)))
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton's method with a small ridge."""
+def _fit_curve(x: np.ndarray, y: np.ndarray, sizes: dict[int, int] | None = None) -> np.ndarray:
+    """Logistic regression by Newton's method with a small ridge.  ``sizes`` are the rows of each class that the points
+    were sampled from: a point stands for as many of them, so the share of toxic rows is that of all labelled rows."""
+    drawn = np.bincount(y.astype(int), minlength=2)
+    each = np.array([(sizes or {}).get(c, drawn[c]) / max(drawn[c], 1) for c in (0, 1)])[y.astype(int)]
+    each *= len(y) / max(each.sum(), 1e-9)
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-6, *[0.1] * (x.shape[1] - 1)])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (each * (y - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -250,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     points = sample.mapInArrow(left_out, "x0 double, x1 double, x2 double, x3 double, label int").toArrow()
     x = np.stack([points.column(f"x{c}").to_numpy() for c in range(4)], axis=1)
     model = _model(found)
-    model.weights = _fit_curve(x, points.column("label").to_numpy().astype(float))
+    model.weights = _fit_curve(x, points.column("label").to_numpy().astype(float), sizes)
     return model
 
 

@@ -85,3 +85,26 @@ def test_edge_cases(spark, edge, empty, labels):
     for docs, known, prior in ((empty, labels, 0.0), (edge, labels.limit(0), 0.0), (edge, one, 1.0)):
         only = toxicity.fit(docs, known)
         assert {r[0] for r in toxicity.with_score(edge, only)[0].select(name).collect()} == {prior}
+
+
+def test_a_balanced_sample_keeps_the_share_of_toxic_rows():
+    """One point in sixteen of the ordinary class: the curve is that of all points."""
+    rng = np.random.default_rng(5)
+    y = (np.arange(34_000) % 17 == 0).astype(float)
+    x = np.c_[np.ones(len(y)), rng.normal(y * 1.5, 1)[:, None]]
+    whole = toxicity._fit_curve(x, y)
+    kept = (y == 1) | (rng.random(len(y)) < 1 / 16)
+    sampled = toxicity._fit_curve(x[kept], y[kept], {0: int((y == 0).sum()), 1: int(y.sum())})
+    assert sampled == pytest.approx(whole, abs=0.15)
+
+
+def test_scores_mean_the_same_in_a_balanced_sample(spark):
+    """All toxic rows against a seventh of the ordinary ones: scores still average to the share of toxic rows."""
+    sf = DATA.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL").select("doc_id", "toxic").distinct()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").join(labels.select("doc_id"), "doc_id").cache()
+    scored, name = toxicity.with_score(docs, toxicity.fit(docs, labels, per_class=500))
+    rows = scored.select("doc_id", name).join(labels, "doc_id").toPandas()
+    docs.unpersist()
+    assert rows[name].mean() == pytest.approx((rows.toxic == 1).mean(), abs=0.03)
+    assert (rows[name][rows.toxic == 0] >= toxicity.THRESHOLD).mean() < 0.015
