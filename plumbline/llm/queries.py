@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    decontamination, html_text, language_id, packing, pitman_yor, quality_bayes, quality_rules, simhash, token_counts,
-    toxicity,
+    decontamination, fill_middle, html_text, language_id, packing, pii, pitman_yor, quality_bayes, quality_rules, simhash,
+    spelling, token_counts, toxicity,
 )
 from plumbline.llm.text_blocks import fold
 from plumbline.sources.tables import table
@@ -112,6 +112,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(table(spark, sf_dir, "documents"), slip_every=97)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, spans = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[pii.count(spans, k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(pii.listed(F.filter(spans, lambda s: s["base"])), 256).alias("base_sha256"),
+        pii.listed(spans).alias("spans"),
+        F.size(F.filter(spans, lambda s: ~s["base"])).cast("long").alias("n_added"),
+    )
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents"))
+    return fill_middle.with_digests(made).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -123,4 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_spelling": op11_spelling,
+    "op12_pii": op12_pii,
+    "op13_fill_middle": op13_fill_middle,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbline.llm.decontamination import MIN_SHARE, WIDTH
+from plumbline.llm.fill_middle import SEED
 from plumbline.llm.quality_rules import DELTA, QUANTILES, RATES, RISK
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -101,4 +102,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM rated LEFT JOIN limits ON lang IS NOT DISTINCT FROM l
 """
 
-SQL: dict[str, str] = {"op8_decontaminate": DECONTAMINATE, "op9_quality_rules": QUALITY_RULES}
+# Rebuilt from the output alone: the parts between the markers, in the order of the text.
+_AT = "strpos(output, '{0}')"
+_REBUILT = {
+    "psm": f"substr(output, 4, {_AT.format('<S>')} - 4) || substr(output, {_AT.format('<M>')} + 3)"
+           f" || substr(output, {_AT.format('<S>')} + 3, {_AT.format('<M>')} - {_AT.format('<S>')} - 3)",
+    "spm": f"substr(output, {_AT.format('<P>')} + 3, {_AT.format('<M>')} - {_AT.format('<P>')} - 3)"
+           f" || substr(output, {_AT.format('<M>')} + 3) || substr(output, 4, {_AT.format('<P>')} - 4)",
+}
+_DRAW = "CAST('0x' || substr(h, {0}, 8) AS BIGINT)"
+
+FILL_MIDDLE = f"""
+WITH docs AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+           regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS units
+    FROM documents
+), drawn AS (
+    SELECT *, len(units) AS n, {_DRAW.format(1)} % (len(units) + 1) AS u, {_DRAW.format(9)} % (len(units) + 1) AS v,
+           CASE WHEN len(units) = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                WHEN {_DRAW.format(25)} % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM docs
+), cuts AS (
+    SELECT *, array_to_string(units[1 : least(u, v)], '') AS a, array_to_string(units[least(u, v) + 1 : greatest(u, v)], '') AS b,
+           array_to_string(units[greatest(u, v) + 1 :], '') AS c
+    FROM drawn
+), made AS (
+    SELECT *, CASE form WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+                        WHEN 'spm' THEN '<S>' || c || '<P>' || a || '<M>' || b ELSE t END AS output
+    FROM cuts
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+       sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'psm' THEN {_REBUILT['psm']} WHEN 'spm' THEN {_REBUILT['spm']} ELSE output END) AS restored_sha256
+FROM made
+"""
+
+SQL: dict[str, str] = {
+    "op8_decontaminate": DECONTAMINATE, "op9_quality_rules": QUALITY_RULES, "op13_fill_middle": FILL_MIDDLE,
+}
