@@ -779,10 +779,36 @@ def similar_detail(spark, sf_dir):
 
 @register
 def similar_blocked(spark, sf_dir):
-    """The same answer from many small blocks of queries."""
+    """The same answer from many small bands of queries and corpus."""
     return similarity.top_k(tables.embeddings(spark, sf_dir), k=5, min_similarity=0.0, block=150)
 
 
+@register
+def similar_queries(spark, sf_dir):
+    """Every row whose id is divisible by 100, against all rows."""
+    corpus = tables.embeddings(spark, sf_dir)
+    return similarity.search(corpus.filter(F.col("id") % 100 == 0), corpus, k=5, others_only=True)
+
+
+def _story_vectors(spark, sf_dir):
+    corpus = session.cut(flows.embedded_corpus(tables.stories(spark, sf_dir)))
+    return corpus.filter(F.col("id") % 100 == 0), corpus
+
+
+@register
+def similar_approx(spark, sf_dir):
+    """Close neighbours of every hundredth story among all stories, by random planes."""
+    return similarity.approximate(*_story_vectors(spark, sf_dir), k=5, min_similarity=0.9, others_only=True)
+
+
+@register
+def similar_recall(spark, sf_dir):
+    """Share of the exact close neighbours that the approximate search finds."""
+    asked, corpus = _story_vectors(spark, sf_dir)
+    exact = similarity.search(asked, corpus, k=5, min_similarity=0.9, others_only=True)
+    return similarity.recall(similarity.approximate(asked, corpus, k=5, min_similarity=0.9, others_only=True), exact)
+
+
 @register
 def embedding_pca(spark, sf_dir):
     rows = training.as_vector(

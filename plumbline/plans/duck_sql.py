@@ -794,6 +794,7 @@ FROM preds WHERE y = 2 ORDER BY id LIMIT 1""",
     "similar_topk": f"WITH {_nearest(5, 0.0)} {_SIMILAR}",
     "similar_by_vec": f"WITH {_nearest(5, -1.0)} {_SIMILAR}",
     "similar_blocked": f"WITH {_nearest(5, 0.0)} {_SIMILAR}",
+    "similar_queries": f"WITH {_nearest(5, 0.0)} {_SIMILAR} WHERE query_id % 100 = 0",
     "similar_ids": f"""WITH {_nearest(5, 0.0)}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM near WHERE sim >= 0.3)
 SELECT u.query_id, coalesce(string_agg(k.id::VARCHAR, ',' ORDER BY k.k), '') AS ids
 FROM (SELECT DISTINCT query_id FROM near) u LEFT JOIN (SELECT * FROM k WHERE k <= 3) k USING (query_id) GROUP BY u.query_id""",
