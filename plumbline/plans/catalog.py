@@ -23,7 +23,7 @@ from plumbline.operators import (
 )
 from plumbline.plans import flows
 from plumbline.sources import files, tables
-from plumbline.streaming import scoring
+from plumbline.streaming import requests, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -904,3 +904,22 @@ def stream_score(spark, sf_dir):
     scoring.start_scoring(documents, output, checkpoint).awaitTermination()
     return spark.read.parquet(output)
 
+
+def _requests(documents):
+    """documents -> requests: stories as they arrive, complete or not."""
+    return tables.stories_from(documents).select("id", "title", "description")
+
+
+@register
+def stream_assess(spark, sf_dir):
+    """Every document as an arriving request, assessed by a bundle that was saved and loaded again."""
+    folder = session.scratch_path(spark, "assessed")
+    _trained(spark, sf_dir).bundle.save(spark, f"{folder}/bundle")
+    corpus = session.cut(flows.embedded_corpus(tables.stories(spark, sf_dir)))
+    arriving = _requests(scoring.open_stream(spark, sf_dir, "documents.parquet"))
+    requests.start(
+        arriving, lambda: flows.Bundle.load(spark, f"{folder}/bundle"), f"{folder}/answers", f"{folder}/state", corpus
+    ).awaitTermination()
+    found = requests.answers(spark, f"{folder}/answers")
+    shown = found.withColumn("similar_ids", F.transform("similar_ids", lambda x: x.cast("string")))
+    return joined(joined(shown.drop("features", "batch_id"), "similar_ids"), "reasons")

@@ -191,8 +191,10 @@ def score(frame: DataFrame, bundle: Bundle, keep: Sequence[str] = ("id", "y")) -
     return decisions.risk_decision(training.calibrate(raw, bundle.calibration), bundle.costs).drop("expected_costs")
 
 
-def assess(stories: DataFrame, bundle: Bundle, corpus: DataFrame | None = None, similar: int = 3) -> DataFrame:
-    """One record per story: level, confidence, p0..p2, explanation, similar ids.
+def assess(
+    stories: DataFrame, bundle: Bundle, corpus: DataFrame | None = None, similar: int = 3, with_features: bool = False
+) -> DataFrame:
+    """One record per story: level, confidence, p0..p2, explanation, similar ids; the fifteen features on request.
 
     Stories without title, description or points get the fallback record (Medium, 50) with neither explanation nor
     neighbours.  ``corpus`` (id, embedding) holds the stories to search; without it there are no similar ids.  Texts
@@ -205,6 +207,8 @@ def assess(stories: DataFrame, bundle: Bundle, corpus: DataFrame | None = None,
     reasons = explain.with_attributions(rows, FEATURE_NAMES, bundle.weights, means=means)
     told = explain.explanations(reasons.drop("predicted").join(scored, "id"), decided="y_pred").select("id", "explanation")
     out = decisions.assessments(scored, stories).join(scored.select("id", "p0", "p1", "p2"), "id", "left").join(told, "id", "left")
+    if with_features:
+        out = out.join(rows.select("id", F.struct(*FEATURE_NAMES).alias("features")), "id", "left")
     if corpus is None:
         return out.withColumn("similar_ids", F.lit(None).cast("array<bigint>"))
     near = similarity.search(rows.select("id", "embedding"), corpus, similar, others_only=True)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from multiprocessing.pool import ThreadPool
 from typing import TypeVar
 
@@ -59,29 +61,43 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 _STORED: list[str] = []
+_SCOPE: ContextVar[list[str]] = ContextVar("stored", default=_STORED)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Store the rows as Parquet in the shared folder and read them back.
 
     A lost executor cannot change stored rows, and later steps read only the columns they use.  The copies stay until
-    ``release`` is called, because frames built on them are lazy.
+    ``release`` is called or the surrounding ``scratch`` ends, because frames built on them are lazy.
     """
-    path = scratch_path(df.sparkSession, "cut")
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    _STORED.append(path)
+    _SCOPE.get().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
+def release(spark: SparkSession, stored: list[str] | None = None) -> int:
     """Delete the copies made by ``cut``, once their results have been written; returns their number."""
-    n = len(_STORED)
-    while _STORED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+    stored = _STORED if stored is None else stored
+    n = len(stored)
+    while stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(stored.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Copies that ``cut`` makes inside are deleted at the end: for steps that write their result, such as a micro-batch."""
+    own: list[str] = []
+    token = _SCOPE.set(own)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        release(spark, own)
+
+
 def side_by_side(work: Callable[[T], R], items: Iterable[T]) -> list[R]:
     """Run independent model fits at the same time; each is a chain of small Spark jobs."""
     listed = list(items)
