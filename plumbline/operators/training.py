@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -14,8 +15,7 @@ from pyspark.sql import functions as F
 from plumbline.config import CLASS_LABELS, SEED
 from plumbline.operators.decisions import PROBABILITIES, renormalize
 from plumbline.operators.evaluation import early_stopping_rounds
-from plumbline.session import side_by_side
-from plumbline.sources.tables import union_all
+from plumbline.session import cut, shuffle_width, side_by_side
 
 
 # Stopping tolerance of the regressions (fixed value).
@@ -161,17 +161,59 @@ def class_probabilities(model: LogisticRegressionModel, df: DataFrame) -> DataFr
     )
 
 
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pool adjacent violators over rows in the order of class and score; counts are whole numbers, so ties are exact."""
+    last, pools = None, []
+
+    def passed_on() -> pd.DataFrame:
+        return pd.DataFrame([(last, *p) for p in pools], columns=["class", "low", "high", "hits", "n"])
+
+    for pdf in batches:
+        for k, *pool in pdf[["class", "low", "high", "hits", "n"]].itertuples(index=False, name=None):
+            if k != last and pools:
+                yield passed_on()
+                pools = []
+            last = k
+            while pools and pools[-1][2] * pool[3] >= pool[2] * pools[-1][3]:
+                low, _, hits, n = pools.pop()
+                pool = [low, pool[1], hits + pool[2], n + pool[3]]
+            pools.append(pool)
+    if pools:
+        yield passed_on()
+
+
+def isotonic_pools(df: DataFrame, slices: int | None = None, fan_in: int = 16) -> DataFrame:
+    """(class, low, high, hits, n): the level stretches of each class's non-decreasing fit of hits to scores.
+
+    The scores are cut into ranges that are pooled on their own; then the pools of ``fan_in`` neighbouring ranges are
+    pooled in one task, and so on until one range is left.  Pooling pools gives the same fit as pooling points.  Levels
+    rise from pool to pool and are shares of whole numbers, so a range of n rows keeps at most about n^(2/3) pools and
+    usually far fewer, whatever its number of points.
+    """
+    each = F.array(*[
+        F.struct(F.lit(k).alias("class"), F.col(p).cast("double").alias("low"), (F.col("y") == k).cast("long").alias("hit"))
+        for k, p in enumerate(PROBABILITIES)
+    ])
+    long = df.filter(F.col("y").isNotNull()).select(F.inline(each)).filter(F.col("low").isNotNull())
+    pools = cut(long.groupBy("class", "low").agg(F.sum("hit").alias("hits"), F.count("*").alias("n")).withColumn("high", F.col("low")))
+    slices = slices or shuffle_width(df.sparkSession)
+    while True:
+        ranged = pools.repartitionByRange(slices, "class", "low") if slices > 1 else pools.repartition(len(PROBABILITIES), "class")
+        merged = ranged.sortWithinPartitions("class", "low").mapInPandas(_merged, "class int, low double, high double, hits bigint, n bigint")
+        if slices == 1:
+            return merged
+        pools, slices = cut(merged), max(1, slices // fan_in)
+
+
 def fit_calibration(df: DataFrame) -> list[IsotonicRegressionModel]:
-    """One isotonic regression per class.  Equal scores are merged into one weighted point first."""
-    models = []
-    for k, p in enumerate(PROBABILITIES):
-        points = df.groupBy(F.col(p).alias("score")).agg(
-            F.avg((F.col("y") == k).cast("double")).alias("share"), F.count("*").cast("double").alias("weight")
-        )
-        models.append(
-            IsotonicRegression(featuresCol="score", labelCol="share", weightCol="weight", predictionCol="_cal").fit(points)
-        )
-    return models
+    """One isotonic regression per class.  The model is made from the ends of its pools; no point reaches the driver."""
+    pools = cut(isotonic_pools(df))
+    ends = pools.select(
+        "class", F.explode(F.array_distinct(F.array("low", "high"))).alias("score"), (F.col("hits") / F.col("n")).alias("share"),
+        F.col("n").cast("double").alias("weight"),
+    )
+    fit = IsotonicRegression(featuresCol="score", labelCol="share", weightCol="weight", predictionCol="_cal").fit
+    return side_by_side(lambda k: fit(ends.filter(F.col("class") == k)), range(len(PROBABILITIES)))
 
 
 def calibrate(df: DataFrame, models: Sequence[IsotonicRegressionModel]) -> DataFrame:
@@ -187,12 +229,7 @@ def calibrate(df: DataFrame, models: Sequence[IsotonicRegressionModel]) -> DataF
     return renormalize(kept)
 
 
-def calibration_table(models: Sequence[IsotonicRegressionModel], spark) -> DataFrame:
-    """(class, boundary, value) of the fitted step functions."""
-    parts = []
-    for k, m in enumerate(models):
-        rows = list(zip([float(b) for b in m.boundaries], [float(v) for v in m.predictions]))
-        parts.append(
-            spark.createDataFrame(rows, "boundary double, value double").select(F.lit(k).alias("class"), "boundary", "value")
-        )
-    return union_all(parts)
+def calibration_table(pools: DataFrame) -> DataFrame:
+    """(class, boundary, value) of the fitted step functions: both ends of every level stretch."""
+    ends = F.explode(F.array_distinct(F.array("low", "high")))
+    return pools.select("class", ends.alias("boundary"), (F.col("hits") / F.col("n")).alias("value"))

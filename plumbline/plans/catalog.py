@@ -575,7 +575,7 @@ def feature_importance(spark, sf_dir):
 
 @register
 def isotonic_fit(spark, sf_dir):
-    return training.calibration_table(training.fit_calibration(tables.predictions(spark, sf_dir)), spark)
+    return training.calibration_table(training.isotonic_pools(tables.predictions(spark, sf_dir)))
 
 
 @register

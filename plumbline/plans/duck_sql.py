@@ -440,7 +440,7 @@ def _calendar(days: str) -> str:
 
 # Isotonic regression in its min-max form: at the i-th distinct score, the largest over j <= i of the least over k >= i of
 # the mean from j to k.
-_CALIBRATED = f"""WITH {PREDS}, long AS (
+_ISOTONIC = f"""{PREDS}, long AS (
   SELECT id, y, unnest([0, 1, 2]) AS class, unnest([p0, p1, p2]) AS score FROM preds
 ), points AS (
   SELECT class, score, avg((y = class)::DOUBLE) AS share, count(*) AS w, row_number() OVER (PARTITION BY class ORDER BY score) AS i
@@ -454,7 +454,9 @@ _CALIBRATED = f"""WITH {PREDS}, long AS (
   SELECT class, j, k, min(m) OVER (PARTITION BY class, j ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM means
 ), fitted AS (
   SELECT class, k AS i, max(m) AS v FROM least GROUP BY class, k
-), met AS (
+)"""
+
+_CALIBRATED = f"""WITH {_ISOTONIC}, met AS (
   SELECT id, y, long.class, long.score, v FROM long JOIN sums USING (class, score) JOIN fitted USING (class, i)
 ), wide AS (
   SELECT id, y, {', '.join(f'max(v) FILTER (class = {k}) AS v{k}, max(score) FILTER (class = {k}) AS p{k}' for k in range(3))}
@@ -731,6 +733,9 @@ SELECT run, round AS best_round, {r('loss')} AS best_loss, last_round, n_train F
     "renormalize": f"""WITH {PREDS}, s AS (SELECT id, {', '.join(f'greatest(p{k} - 0.3e0, 0e0) AS s{k}' for k in range(3))} FROM preds)
 SELECT id, {', '.join(r(f'CASE WHEN s0 + s1 + s2 <> 0 THEN s{k} / (s0 + s1 + s2) ELSE s{k} END') + f' AS p{k}' for k in range(3))} FROM s""",
     "calibrated": _CALIBRATED,
+    "isotonic_fit": f"""WITH {_ISOTONIC}, pools AS (
+  SELECT class, round(v, 10) AS v, min(score) AS low, max(score) AS high FROM sums JOIN fitted USING (class, i) GROUP BY class, round(v, 10))
+SELECT {n('class')} AS class, {r('unnest(list_distinct([low, high]))')} AS boundary, {r('v')} AS value FROM pools""",
     "ece": f"""WITH {SCORED}, s AS (SELECT greatest(p0, p1, p2) AS conf, (y = y_pred)::INT AS hit FROM scored),
 b AS (SELECT {_ECE_BIN} AS bin, count(*) AS k, avg(hit) AS acc, avg(conf) AS con FROM s WHERE conf < 1 GROUP BY 1)
 SELECT (SELECT count(*) FROM s) AS n, {r('sum(k * abs(acc - con)) / (SELECT count(*) FROM s)')} AS ece FROM b""",
