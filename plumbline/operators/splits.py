@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,20 @@ def label_split(df: DataFrame, label: str, seed: int = SEED, test_share: float =
     )
 
 
+def label_splits(df: DataFrame, runs: Sequence[str], label: str, seed: str, test_share: float = 0.2) -> DataFrame:
+    """``df`` plus ``split``: the 80/20 split of ``label_split`` for every run in one pass.
+
+    A run is told apart by the columns ``runs``; ``seed`` is the column with its seed.  The sizes have one row per run
+    and label and are broadcast.
+    """
+    keyed = df.withColumn("_digest", F.md5(F.concat(F.col(seed).cast("string"), F.lit("-"), F.col("id").cast("string"))))
+    strata = [*runs, label]
+    ranked = hashed_rank(keyed, strata, "_digest", "id", "_rank")
+    sizes = keyed.groupBy(*strata).agg(F.count("*").alias("_size"))
+    held_out = F.col("_rank") <= F.round(F.col("_size") * test_share)
+    return by_group(ranked, sizes, strata, small=True).select(*df.columns, F.when(held_out, "test").otherwise("train").alias("split"))
+
+
 def group_split(df: DataFrame, group: str, seed: int = SEED) -> DataFrame:
     """60/20/20 over whole groups: every row of a group lands in the same split.  No shuffle."""
     share = F.conv(F.substring(seeded_order(seed, group), 1, 8), 16, 10).cast("double") / 2**32

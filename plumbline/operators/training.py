@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.config import CLASS_LABELS, SEED
@@ -20,21 +20,28 @@ from plumbline.session import cut, shuffle_width, side_by_side
 
 # Stopping tolerance of the regressions (fixed value).
 TOLERANCE = 1e-4
-FIT_PARTITIONS = 8
+# Training rows of a partition below which more partitions only add scheduling, and partitions that are always allowed.
+PARTITION_ROWS = 2048
+LEAST_WIDTH = 8
 
 
-def spread_by_id(df: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
+def fit_partitions(spark: SparkSession, n: int) -> int:
+    """Partitions for n training rows: by their number, up to the width of the session's shuffles."""
+    return max(1, min(-(-n // PARTITION_ROWS), max(LEAST_WIDTH, shuffle_width(spark))))
+
+
+def spread_by_id(df: DataFrame, partitions: int) -> DataFrame:
     """Training rows by the hash of their id, in its order.
 
-    Trees draw rows by partition and place, so a fitted model must not depend on how the data was read.  Set
-    ``partitions`` to the cores of the cluster for large data, and keep it to get the same model again.
+    Trees draw rows by partition and place, so a fitted model must not depend on how the data was read.  Keep
+    ``partitions`` to get the same model again.
     """
     return df.repartition(partitions, "id").sortWithinPartitions("id")
 
 
 @dataclass
 class BoostingSettings:
-    """Defaults are fixed values; ``rounds`` is the usual knob."""
+    """Defaults are fixed values; ``rounds`` is the usual knob.  Without ``partitions`` the number of rows decides."""
 
     rounds: int = 10
     depth: int = 5
@@ -44,7 +51,7 @@ class BoostingSettings:
     column_share: float = 0.4
     step: float = 0.05
     seed: int = SEED
-    partitions: int = FIT_PARTITIONS
+    partitions: int | None = None
 
 
 @dataclass
@@ -93,7 +100,7 @@ def fit_boosting(df: DataFrame, settings: BoostingSettings | None = None) -> Boo
     rounds, the trees up to the best round are kept.  Ten rounds or fewer are never cut short.
     """
     s = settings or BoostingSettings()
-    df = spread_by_id(df, s.partitions).persist()
+    df = spread_by_id(df, s.partitions or fit_partitions(df.sparkSession, df.count())).persist()
     patience = early_stopping_rounds(s.rounds)
     watched = patience is not None and bool(df.filter("is_val").head(1))
 
@@ -139,10 +146,15 @@ def learning_curve(model: BoostedModel, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "run string, round int, split string, loss double")
 
 
-def fit_logistic(df: DataFrame, max_iter: int = 100, label: str = "y") -> LogisticRegressionModel:
-    """Multinomial regression; the penalty matches an L2 weight of one against the summed loss."""
+def fit_logistic(df: DataFrame, max_iter: int = 100, label: str = "y", partitions: int | None = None) -> LogisticRegressionModel:
+    """Multinomial regression; the penalty matches an L2 weight of one against the summed loss.
+
+    No row is sampled, so the number of partitions only moves the last digits; without it the number of rows decides.
+    ``df`` is counted before it is dealt, so store it first if it is costly.
+    """
     n = df.count()
-    rows = spread_by_id(df.withColumn(label, F.col(label).cast("double"))).persist()
+    rows = df.withColumn(label, F.col(label).cast("double"))
+    rows = spread_by_id(rows, partitions or fit_partitions(df.sparkSession, n)).persist()
     model = LogisticRegression(
         featuresCol="features", labelCol=label, family="multinomial", maxIter=max_iter,
         regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, tol=TOLERANCE,

@@ -14,7 +14,7 @@ from plumbline.operators import (
 )
 from plumbline.operators.features import symbolic_features
 from plumbline.plans.bundle import Bundle
-from plumbline.session import cut
+from plumbline.session import cut, side_by_side
 from plumbline.sources import files
 from plumbline.sources.tables import union_all
 
@@ -245,20 +245,6 @@ def training_report(trained: Trained) -> DataFrame:
     )
 
 
-def ablation_arm(df: DataFrame, seed: int, max_iter: int = 1000) -> float:
-    """Macro F1 of TF-IDF (words and pairs, fitted on the training rows) with logistic regression."""
-    encoded = cleaning.encode_labels(df).select("id", "full_text", F.col("risk_class").alias("y"))
-    split = splits.label_split(encoded, "y", seed)
-    texts = tfidf.with_terms(encoded, bigrams=True).join(split.select("id", "split"), "id").persist()
-    train_rows, test_rows = texts.filter(F.col("split") == "train"), texts.filter(F.col("split") == "test")
-    vectorizer = tfidf.fit(train_rows)
-    model = training.fit_logistic(vectorizer.transform(train_rows).select("id", "y", "features"), max_iter)
-    scored = training.class_probabilities(model, vectorizer.transform(test_rows).select("id", "y", "features"))
-    macro = evaluation.f1_summary(evaluation.class_report(decisions.with_argmax(scored))).first()["macro_f1"]
-    texts.unpersist()
-    return float(macro)
-
-
 def ablation(
     raw: DataFrame, seeds: Sequence[int] = tuple(ABLATION_SEEDS), epochs: int = 500, max_iter: int = 1000
 ) -> DataFrame:
@@ -269,9 +255,49 @@ def ablation(
         "two_class": cleaning.map_without_medium(stages.labeled),
         "pruned": stages.classes,
     }
-    arms = {name: cut(df.select("id", "full_text", "risk_label")) for name, df in arms.items()}
-    rows = [(name, seed, ablation_arm(df, seed, max_iter)) for name, df in arms.items() for seed in seeds]
-    return raw.sparkSession.createDataFrame(rows, "config string, seed int, macro_f1 double")
+    return compare_arms(stages.labeled, arms, seeds, max_iter)
+
+
+def compare_arms(texts: DataFrame, arms: dict[str, DataFrame], seeds: Sequence[int], max_iter: int = 1000) -> DataFrame:
+    """(config, seed, macro_f1): TF-IDF of words and pairs with logistic regression, per arm (id, risk_label) and seed.
+
+    A run is an arm with a seed; the runs of a row are the bits of two numbers, at most 62 runs.  All runs are split
+    in one pass, the terms of each text are stored once, and the vocabularies of all runs come from one aggregate over
+    them.  Only the regressions are fitted run by run, side by side.
+    """
+    runs = [(config, seed) for config in arms for seed in seeds]
+    if len(runs) > 62:
+        raise ValueError("at most 62 runs are compared together")
+    labelled = union_all([
+        cleaning.encode_labels(df.select("id", "risk_label")).select(F.lit(config).alias("config"), "id", F.col("risk_class").alias("y"))
+        for config, df in arms.items()
+    ])
+    seeded = cut(labelled).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    split = splits.label_splits(seeded, ["config", "seed"], "y", "seed")
+
+    def bits(part: str):
+        held = [F.when((F.col("config") == c) & (F.col("seed") == s) & (F.col("split") == part), F.lit(1 << r).cast("long"))
+                for r, (c, s) in enumerate(runs)]
+        return F.coalesce(F.sum(F.coalesce(*held)), F.lit(0).cast("long")).alias(part)
+
+    member = split.groupBy("id").agg(bits("train"), bits("test"), *[F.max(F.when(F.col("config") == c, F.col("y"))).alias(f"y_{c}") for c in arms])
+    rows = cut(tfidf.with_terms(texts.select("id", "full_text"), bigrams=True).drop("full_text").join(member, "id"))
+
+    def of(part: str, r: int) -> DataFrame:
+        return rows.filter(F.col(part).bitwiseAND(F.lit(1 << r).cast("long")) != 0).select("id", "terms", F.col(f"y_{runs[r][0]}").alias("y"))
+
+    sizes = rows.agg(*[F.count_if(F.col("train").bitwiseAND(F.lit(1 << r).cast("long")) != 0) for r in range(len(runs))]).first()
+    models = tfidf.fit_runs(cut(tfidf.run_counts(rows, len(runs))), list(sizes))
+
+    def scored(r: int) -> DataFrame:
+        config, seed = runs[r]
+        model = training.fit_logistic(models[r].transform(of("train", r)).select("id", "y", "features"), max_iter)
+        found = training.class_probabilities(model, models[r].transform(of("test", r)).select("id", "y", "features"))
+        return found.select(F.lit(config).alias("config"), F.lit(seed).alias("seed"), "y", "p0", "p1", "p2")
+
+    decided = decisions.with_argmax(union_all(side_by_side(scored, range(len(runs)))))
+    report = evaluation.class_report(decided, ["config", "seed"])
+    return evaluation.f1_summary(report, ["config", "seed"]).select("config", "seed", "macro_f1")
 
 
 def ablation_summary(results: DataFrame) -> DataFrame:
@@ -306,6 +332,6 @@ def decision_runs(preds: DataFrame, seeds: Sequence[int] = tuple(ABLATION_SEEDS)
 
 
 __all__ = [
-    "SEED", "Augmented", "Bundle", "Trained", "ablation", "ablation_summary", "assess", "augment", "cross_validated",
+    "SEED", "Augmented", "Bundle", "Trained", "ablation", "ablation_summary", "assess", "augment", "compare_arms", "cross_validated",
     "decision_runs", "embedded_corpus", "feature_rows", "feature_vectors", "funnel", "labeled_by_assumption", "score", "train", "training_report", "weak_labels",
 ]
