@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plumbline.config import CLASS_LABELS, SEED
 from plumbline.operators.decisions import PROBABILITIES, renormalize
 from plumbline.operators.evaluation import early_stopping_rounds
-from plumbline.session import cut, shuffle_width, side_by_side
+from plumbline.session import cut, shuffle_width, side_by_side, without_summary
 
 
 # Stopping tolerance of the regressions (fixed value).
@@ -160,7 +160,7 @@ def fit_logistic(df: DataFrame, max_iter: int = 100, label: str = "y", partition
         regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, tol=TOLERANCE,
     ).fit(rows)
     rows.unpersist()
-    return model
+    return without_summary(model)
 
 
 def class_probabilities(model: LogisticRegressionModel, df: DataFrame) -> DataFrame:

@@ -18,11 +18,11 @@ from plumbline import session
 from plumbline.config import FEATURE_NAMES, SEED
 from plumbline.functions.arrays import l2_normalize
 from plumbline.operators import (
-    cleaning, decisions, evaluation, explain, features, health, label_model, labeling, matrix, noise, scope,
+    cleaning, clusters, decisions, evaluation, explain, features, health, label_model, labeling, matrix, noise, scope,
     similarity, splits, tfidf, training, validation,
 )
 from plumbline.plans import flows
-from plumbline.sources import files, tables
+from plumbline.sources import files, tables, vectors
 from plumbline.streaming import requests, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -809,6 +809,23 @@ def similar_recall(spark, sf_dir):
     return similarity.recall(similarity.approximate(asked, corpus, k=5, min_similarity=0.9, others_only=True), exact)
 
 
+@register
+def embedding_store(spark, sf_dir):
+    """Texts encoded by a first and a second run over the same stories."""
+    path, stories = session.scratch_path(spark, "vectors"), _cleaned(spark, sf_dir).select("id", "full_text")
+    encoded = [vectors.add_texts(stories, "full_text", path) for _ in range(2)]
+    rows = spark.createDataFrame(list(enumerate(encoded, 1)), "run int, encoded bigint")
+    found = vectors.embedded(stories, "full_text", path)
+    return rows.withColumn("embedded", found.agg(F.count("embedding")).scalar())
+
+
+@register
+def cluster_outliers(spark, sf_dir):
+    """Vote for stories in small clusters or far from every centre."""
+    rows = session.cut(flows.embedded_corpus(tables.stories(spark, sf_dir)))
+    return clusters.outlier_votes(rows, clusters.fit(rows))
+
+
 @register
 def embedding_pca(spark, sf_dir):
     rows = training.as_vector(

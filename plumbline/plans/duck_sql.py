@@ -799,6 +799,8 @@ FROM preds WHERE y = 2 ORDER BY id LIMIT 1""",
     "similar_topk": f"WITH {_nearest(5, 0.0)} {_SIMILAR}",
     "similar_by_vec": f"WITH {_nearest(5, -1.0)} {_SIMILAR}",
     "similar_blocked": f"WITH {_nearest(5, 0.0)} {_SIMILAR}",
+    "embedding_store": f"""WITH {CLEANED}, d AS (SELECT count(DISTINCT full_text) AS texts, count(*) AS n FROM cleaned)
+SELECT {n('run')} AS run, CASE WHEN run = 1 THEN texts ELSE 0 END AS encoded, n AS embedded FROM d, (VALUES (1), (2)) AS v(run)""",
     "similar_queries": f"WITH {_nearest(5, 0.0)} {_SIMILAR} WHERE query_id % 100 = 0",
     "similar_ids": f"""WITH {_nearest(5, 0.0)}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM near WHERE sim >= 0.3)
 SELECT u.query_id, coalesce(string_agg(k.id::VARCHAR, ',' ORDER BY k.k), '') AS ids

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import ABLATION_SEEDS, CLASS_LABELS, COST_MATRIX, CLASS_THRESHOLD, FEATURE_NAMES, HIGH_CONFIDENCE, SEED, TRAIN_CONFIDENCE
@@ -19,19 +19,29 @@ from plumbline.sources import files
 from plumbline.sources.tables import union_all
 
 
-def weak_labels(raw: DataFrame, epochs: int = 500) -> DataFrame:
-    """Clean, vote, fit the label model, label.
+def weak_labels(raw: DataFrame, epochs: int = 500, watched: dict[str, Observation] | None = None) -> DataFrame:
+    """Clean, vote, fit the label model, label.  ``watched`` gets the rows of raw, cleaned and labeled, counted while the
+    votes are stored.
 
     The votes are stored with their stories: searching the texts again for the second pass would cost more
     than reading them back.  The full text is not stored, it is put together again from title and description.
     """
     cleaned = cleaning.preprocess(raw)
-    votes = cut(labeling.apply_functions(cleaned, keep=cleaned.columns).drop("full_text"))
+    seen = counted(cleaning.preprocess(counted(raw, "raw", watched)), "cleaned", watched)
+    votes = cut(counted(labeling.apply_functions(seen, keep=cleaned.columns).drop("full_text"), "labeled", watched))
     votes = votes.withColumn("full_text", cleaning.full_text())
     mu = fit_label_model(labeling.vote_patterns(votes), epochs)
     return label_model.label_rows(cleaned, votes, label_model.fitted_log_odds(mu))
 
 
+def counted(df: DataFrame, stage: str, watched: dict[str, Observation] | None) -> DataFrame:
+    """``df``, whose rows are counted by the job that reads it first."""
+    if watched is None:
+        return df
+    watched[stage] = Observation()
+    return df.observe(watched[stage], F.count(F.lit(1)).alias("n"))
+
+
 def fit_label_model(patterns: DataFrame, epochs: int = 500):
     """Conditional vote probabilities from vote patterns, which are stored once."""
     patterns = cut(patterns)
@@ -56,7 +66,7 @@ def cross_validated(labeled: DataFrame, k: int = 5) -> DataFrame:
 
 @dataclass
 class Augmented:
-    """Frames after each stage of the augmentation."""
+    """Frames after each stage of the augmentation, and the rows that its jobs counted on the way."""
 
     raw: DataFrame
     cleaned: DataFrame
@@ -65,26 +75,35 @@ class Augmented:
     pruned: DataFrame
     high_confidence: DataFrame
     classes: DataFrame
+    watched: dict[str, Observation]
 
 
 def augment(raw: DataFrame, epochs: int = 500, threshold: float = CLASS_THRESHOLD) -> Augmented:
     """Load, clean, label, prune, high-confidence subset, three classes."""
-    labeled = weak_labels(raw, epochs)
+    watched: dict[str, Observation] = {}
+    labeled = weak_labels(raw, epochs, watched)
     flagged = cut(noise.flag_issues(cut(cross_validated(labeled))))
     pruned = noise.prune(labeled, flagged)
     return Augmented(
         raw, cleaning.preprocess(raw), labeled, flagged, pruned, cleaning.confident(pruned, HIGH_CONFIDENCE),
-        cleaning.map_to_classes(pruned, threshold),
+        cleaning.map_to_classes(pruned, threshold), watched,
     )
 
 
 def save_augmented(stages: Augmented, path: str, run_id: str) -> None:
-    """Write the pruned set (its high-confidence part is a partition of it), the three classes, and rows per stage."""
-    files.write_high_confidence(stages.pruned, f"{path}/labeled", HIGH_CONFIDENCE)
+    """Write the pruned set (its high-confidence part is a partition of it), the three classes, and rows per stage.
+
+    The rows were counted by the jobs that stored them, so no stage is read for its count.
+    """
+    sure = Observation()
+    watched = stages.watched | {"high_confidence": sure}
+    pruned = counted(stages.pruned, "pruned", watched).observe(sure, F.count_if(F.col("risk_confidence") > HIGH_CONFIDENCE).alias("n"))
+    files.write_high_confidence(pruned, f"{path}/labeled", HIGH_CONFIDENCE)
     stages.classes.write.mode("overwrite").parquet(f"{path}/classes")
     names = ("raw", "cleaned", "labeled", "pruned", "high_confidence")
-    counted = funnel([(name, getattr(stages, name)) for name in names])
-    long = counted.select("stage", F.col("stage_no").alias("step"), "n", "lost", "kept_pct").unpivot(
+    rows = [(i, name, watched[name].get["n"]) for i, name in enumerate(names)]
+    losses = _losses(stages.pruned.sparkSession.createDataFrame(rows, "stage_no int, stage string, n bigint"))
+    long = losses.select("stage", F.col("stage_no").alias("step"), "n", "lost", "kept_pct").unpivot(
         ["stage", "step"], [F.col(c).cast("double").alias(c) for c in ("n", "lost", "kept_pct")], "metric", "value"
     )
     files.append_metrics(long, f"{path}/metrics", run_id)

@@ -107,3 +107,13 @@ def side_by_side(work: Callable[[T], R], items: Iterable[T]) -> list[R]:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def without_summary(model):
+    """The fitted model without its training summary.
+
+    The summary refers to the session, and a session in which rows were observed cannot be sent to executors: scoring
+    with the model would fail.
+    """
+    model._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
