@@ -87,14 +87,11 @@ def score_distinct(df: DataFrame, text: str, score: Callable[[DataFrame], DataFr
     return keyed.join(scored, "_digest", "left").drop("_digest")
 
 
-def fuse(symbolic: DataFrame, embeddings: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(id, features): scaled symbolic values followed by the embedding."""
-    return symbolic.join(embeddings.select("id", "embedding"), "id").select(
-        "id",
-        F.concat(F.array(*[F.col(c).cast("double") for c in columns]), F.transform("embedding", lambda x: x.cast("double"))).alias(
-            "features"
-        ),
-    )
+def fuse(symbolic: DataFrame, embeddings: DataFrame, columns: Sequence[str], size: int = EMBEDDING_SIZE) -> DataFrame:
+    """(id, features): scaled symbolic values followed by the embedding, ``size`` zeros for a row without one."""
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    vector = F.coalesce(F.transform("embedding", lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), size))
+    return symbolic.join(embeddings.select("id", "embedding"), "id", "left").select("id", F.concat(values, vector).alias("features"))
 
 
 def fused_names(columns: Sequence[str], size: int = EMBEDDING_SIZE) -> list[str]:

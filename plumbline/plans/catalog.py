@@ -500,6 +500,7 @@ def scaled_features(spark, sf_dir):
 
 @register
 def fused_features(spark, sf_dir):
+    """All stories; those without a given embedding have zeros there."""
     embedded = tables.embeddings(spark, sf_dir)
     fused = matrix.fuse(_scaled(spark, sf_dir), embedded, FEATURE_NAMES)
     return fused.select("id", F.posexplode_outer("features").alias("position", "value"))
@@ -507,10 +508,11 @@ def fused_features(spark, sf_dir):
 
 @register
 def tfidf_bigram(spark, sf_dir):
+    """Fitted on the labelled training stories, applied to all stories."""
     preds = tables.predictions(spark, sf_dir)
     split = splits.label_split(preds, "y").select("id", "split")
     terms = tfidf.with_terms(_cleaned(spark, sf_dir).select("id", "full_text"), bigrams=True)
-    texts = session.cut(terms.drop("full_text").join(split, "id"))
+    texts = session.cut(terms.drop("full_text").join(split, "id", "left"))
     model = tfidf.fit(texts.filter(F.col("split") == "train"))
     return tfidf.long_form(model.transform(texts), model)
 
@@ -719,8 +721,9 @@ def factor_text(spark, sf_dir):
 
 @register
 def explanations(spark, sf_dir):
+    """All stories; those without probabilities get their factors alone."""
     probabilities = tables.predictions(spark, sf_dir).select("id", "p0", "p1", "p2")
-    return explain.explanations(_factors(spark, sf_dir).join(probabilities, "id"))
+    return explain.explanations(_factors(spark, sf_dir).join(probabilities, "id", "left"))
 
 
 @register

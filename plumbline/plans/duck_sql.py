@@ -294,7 +294,7 @@ weights2 AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS tfi
 _TERMS = f"regexp_extract_all(lower(full_text), '{TOKEN}{{2,}}')"
 TFIDF = f"{CLEANED},\nterms AS (SELECT id, {_TERMS} AS terms FROM cleaned),{_tfidf('terms', 'terms', 1000, 2, '0.8')}"
 BIGRAM = f"""{CLEANED},{PREDS},{LABEL_SPLIT},
-words1 AS (SELECT c.id, s.split, {_TERMS} AS ws FROM cleaned c JOIN lsplit s USING (id)),
+words1 AS (SELECT c.id, s.split, {_TERMS} AS ws FROM cleaned c LEFT JOIN lsplit s USING (id)),
 terms AS (SELECT id, split, list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS terms FROM words1),
 train_terms AS (SELECT id, terms FROM terms WHERE split = 'train'),{_tfidf('terms', 'train_terms', 1000, 1, '1.0')}"""
 
@@ -717,8 +717,9 @@ SELECT id, idproject, CASE WHEN v < 0.6 THEN 'train' WHEN v < 0.8 THEN 'val' ELS
     "sample_weights": f"""WITH {PREDS} SELECT id, {n('y')} AS y, {r('(SELECT count(*)::DOUBLE / count(DISTINCT y) FROM preds) / count(*) OVER (PARTITION BY y)')} AS weight FROM preds""",
     "scaled_features": f"WITH {SCALED} SELECT id, split, {', '.join(f'{r(x)} AS {x}' for x in c.FEATURE_NAMES)} FROM scaled",
     "fused_features": f"""WITH {SCALED}, fu AS (
-  SELECT s.id, list_concat([{', '.join(c.FEATURE_NAMES)}], list_transform(embedding, lambda x: x::DOUBLE)) AS v
-  FROM scaled s JOIN embeddings e ON e.vec_id = s.id), ix AS (SELECT id, v, unnest(range(0, len(v))) AS position FROM fu)
+  SELECT s.id, list_concat([{', '.join(c.FEATURE_NAMES)}],
+    coalesce(list_transform(embedding, lambda x: x::DOUBLE), list_transform(range(64), lambda x: 0::DOUBLE))) AS v
+  FROM scaled s LEFT JOIN embeddings e ON e.vec_id = s.id), ix AS (SELECT id, v, unnest(range(0, len(v))) AS position FROM fu)
 SELECT id, position, {r('v[position + 1]')} AS value FROM ix""",
     "tfidf_bigram": f"WITH {BIGRAM} SELECT id, term, {r('tfidf')} AS tfidf FROM weights2",
     "l2_normalized": f"""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings),
@@ -777,9 +778,9 @@ FROM ordered WHERE rank <= 5 AND abs(phi) >= 0.01e0""",
 s AS (SELECT id, feature, {sentence('feature', 'value')} AS sentence FROM lf) SELECT * FROM s WHERE sentence IS NOT NULL""",
     "explanations": f"""WITH {_FACTOR_LINES}
 SELECT c.id, {_LEVEL} AS risk_level, concat_ws(chr(10), 'This story is classified as **' || {_LEVEL} || ' Risk**.', chr(10) || '**Key Risk Factors:**',
-  t.lines, chr(10) || '**Probability Distribution:**', printf('- Low: %.1f', p0 * 100) || '%', printf('- Medium: %.1f', p1 * 100) || '%',
-  printf('- High: %.1f', p2 * 100) || '%') AS explanation
-FROM chosen c JOIN preds p ON p.id = c.id LEFT JOIN told t ON t.id = c.id""",
+  t.lines, CASE WHEN p.id IS NOT NULL THEN concat_ws(chr(10), chr(10) || '**Probability Distribution:**', printf('- Low: %.1f', p0 * 100) || '%',
+  printf('- Medium: %.1f', p1 * 100) || '%', printf('- High: %.1f', p2 * 100) || '%') END) AS explanation
+FROM chosen c LEFT JOIN preds p ON p.id = c.id LEFT JOIN told t ON t.id = c.id""",
     "global_importance": f"""WITH {PHI}, pc AS (SELECT class, feature, avg(abs(phi)) AS importance FROM phi GROUP BY ALL),
 ov AS (SELECT feature, avg(importance) AS overall, row_number() OVER (ORDER BY avg(importance) DESC, feature) AS rank FROM pc GROUP BY feature)
 SELECT {n('class')} AS class, feature, {r('importance')} AS importance, {r('overall')} AS overall, rank FROM pc JOIN ov USING (feature)""",
