@@ -9,8 +9,9 @@ label in some minimum cut; they are labelled at once and their edges folded into
 what remains, so large pages stay cheap and the result exact.
 
 Defined results: null, empty and text-free pages give an empty text; broken markup is read like a browser would
-(unclosed elements end with their parents or where HTML says so, stray end tags are ignored); pages of any length are
-read whole; repeated pages give equal rows; other columns may have any names.
+(unclosed elements end with their parents or where HTML says so, a head without end tag with the first thing that is no
+head content, stray end tags are ignored); pages of any length and depth are read whole; repeated pages give equal
+rows; other columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +36,9 @@ INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
-UNSEEN = set("head script style template noscript iframe object svg math canvas audio video select option datalist textarea button".split())
+HEAD_CONTENT = set("base link meta noscript script style template title".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+UNSEEN = set("head title script style template noscript iframe object svg math canvas audio video select option datalist textarea button".split())
 BOILER_TAGS = set("nav footer aside form dialog menu fieldset".split())
 SECTIONS = set("article main section aside nav header footer form dialog".split())
 BOILER_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
@@ -47,6 +51,11 @@ BOILER_STEMS = (
 )
 HEADER_STEMS = ("header", "head")
 CONTENT_WORDS = set("article content post entry story body main text prose".split())
+# Words that stand beside the stems in ids of templates.  Other company makes an id an anchor, such as related-work.
+COMPANY = set(
+    "area articles bar block box button buttons container content form icons inner items links list media more outer posts "
+    "section slot stories this to unit us wrap".split()
+)
 LAYOUT = {"has", "with", "without", "no", "layout", "wrapper", "container"}
 CUES = re.compile(
     r"©|\(c\) \d{4}|all rights reserved|\bcookies?\b|\bsubscribe\b|\bsign (?:up|in)\b|\badvertisement\b|\bsponsored\b|"
@@ -59,14 +68,23 @@ CLOSED_BY = {
 }
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 # Weights of the classifier.
-W_BOILER, W_MAIN, W_OUTSIDE, W_CONTENT = -12.0, 4.0, -5.0, 2.0
+W_BOILER, W_MAIN, W_OUTSIDE, W_CONTENT, W_ANCHOR = -12.0, 4.0, -5.0, 2.0, -1.5
 W_TAG = {"p": 0.7, "h1": 0.6, "h2": 0.5, "h3": 0.5, "blockquote": 0.6, "pre": 0.5, "li": -0.2, "td": -0.3, "th": -0.3}
 W_LINKS, W_LENGTH, W_START, W_END, W_CUE = -4.0, 0.7, -1.2, 0.5, -2.0
 SMOOTH, SMOOTH_BORDER, DISTANCE = 1.0, 0.15, 3.0
+FAR = 64  # steps in the tree beyond which an edge has no weight
 
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+class Node(NamedTuple):
+    """An open element: its number, its depth, and the element around it."""
+
+    number: int
+    depth: int
+    outer: Node | None
+
+
 @dataclass
 class Block:
     """A stretch of text with the element around it."""
@@ -74,8 +92,7 @@ class Block:
     tag: str
     bias: float
     main: bool
-    parent: int
-    path: tuple[int, ...]
+    node: Node
     section: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -83,6 +100,21 @@ class Block:
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
+    @property
+    def parent(self) -> int:
+        return self.node.outer.number if self.node.outer else 0
+
+
+def _word_bias(words: list[str], anchor: bool, in_main: bool) -> float:
+    """Bias of the words of a class or id.  An id inside the main part may be the anchor of a heading or a section."""
+    boiler = [w in BOILER_WORDS or w.startswith(BOILER_STEMS) for w in words]
+    if any(boiler):
+        template = all(b or w in COMPANY or w.isdigit() for b, w in zip(boiler, words, strict=True))
+        return W_ANCHOR if anchor and in_main and not template else W_BOILER
+    if CONTENT_WORDS.intersection(words):
+        return W_CONTENT
+    return W_BOILER if not in_main and any(w in HEADER_STEMS for w in words) else 0.0
+
 
 def _attribute_bias(tag: str, attrs: list[tuple[str, str | None]], in_main: bool) -> tuple[float, bool]:
     """Bias of an element's own attributes, and whether it opens the main part."""
@@ -91,15 +123,9 @@ def _attribute_bias(tag: str, attrs: list[tuple[str, str | None]], in_main: bool
         value = value or ""
         if name in ("class", "id") and tag not in ("html", "body"):
             words = [w.lower() for w in _WORD.findall(value)]
-            content = any(w in CONTENT_WORDS for w in words)
-            if LAYOUT.intersection(words):  # such as has-sidebar: it tells of the page, not of the element
-                continue
-            if any(w in BOILER_WORDS or w.startswith(BOILER_STEMS) for w in words):
-                bias += W_BOILER
-            elif content:
-                bias += W_CONTENT
-            elif any(w in HEADER_STEMS for w in words) and not in_main:
-                bias += W_BOILER
+            # Words such as has-sidebar tell of the page, not of the element; ids of headings and inline tags are anchors.
+            if not LAYOUT.intersection(words) and not (name == "id" and (tag in HEADINGS or tag in INLINE)):
+                bias += _word_bias(words, name == "id", in_main)
         elif name == "role":
             bias += W_BOILER if value.lower() in BOILER_ROLES else 0.0
             main = main or value.lower() in ("main", "article")
@@ -117,14 +143,21 @@ class Blocks(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # Open elements: tag, bias, main, unseen, links, path of element numbers, section number.
-        self.open: list[tuple[str, float, bool, bool, bool, tuple[int, ...], int]] = [("", 0.0, False, False, False, (0,), 0)]
+        # Open elements: tag, bias, main, unseen, links, place in the tree, section number.
+        self.open: list[tuple[str, float, bool, bool, bool, Node, int]] = [("", 0.0, False, False, False, Node(0, 0, None), 0)]
         self.blocks: list[Block] = []
         self.current: Block | None = None
         self.elements = 0
         self.has_main = False
 
+    def _end_head(self) -> None:
+        """The end tag of the head may be left out: it ends where something else begins."""
+        if self.open[-1][0] == "head":
+            del self.open[-1]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in HEAD_CONTENT:
+            self._end_head()
         if tag in VOID:
             if tag == "br" and self.current:
                 self.current.parts.append(" ")
@@ -137,15 +170,15 @@ class Blocks(HTMLParser):
             self._close({"p"}, {"table", "button", "td", "th", "caption"} if tag != "p" else {"button", "table"})
         if tag in CLOSED_BY:
             self._close(CLOSED_BY[tag], SCOPES.get(tag, set()))
-        _, bias, main, unseen, links, path, section = self.open[-1]
+        _, bias, main, unseen, links, node, section = self.open[-1]
         own, opens_main = _attribute_bias(tag, attrs, main)
         self.elements += 1
         self.has_main = self.has_main or (opens_main and bias + own > W_BOILER / 2)
         if tag not in INLINE or own < W_BOILER / 2:
             self.current = None
         self.open.append((
-            tag, bias + own, main or opens_main, unseen or tag in UNSEEN, links or tag == "a", (*path[-24:], self.elements),
-            self.elements if tag in SECTIONS else section,
+            tag, bias + own, main or opens_main, unseen or tag in UNSEEN, links or tag == "a",
+            Node(self.elements, node.depth + 1, node), self.elements if tag in SECTIONS else section,
         ))
 
     def _close(self, tags: set[str], within: set[str]) -> None:
@@ -171,14 +204,16 @@ class Blocks(HTMLParser):
             self.current = None
 
     def handle_data(self, data: str) -> None:
-        tag, bias, main, unseen, links, path, section = self.open[-1]
+        if data.strip():
+            self._end_head()
+        tag, bias, main, unseen, links, _, section = self.open[-1]
         if unseen:
             return
         if self.current is None:
             if not data.strip():
                 return
             outer = next((e for e in reversed(self.open) if e[0] not in INLINE), self.open[0])
-            self.current = Block(outer[0], bias, main, outer[5][-2] if len(outer[5]) > 1 else 0, outer[5], section)
+            self.current = Block(outer[0], bias, main, outer[5], section)
             self.blocks.append(self.current)
         self.current.parts.append(data)
         if links:
@@ -196,12 +231,16 @@ def score(block: Block, text: str, has_main: bool) -> float:
 
 
 def _distance(a: Block, b: Block) -> int:
-    shared = 0
-    for x, y in zip(a.path, b.path, strict=False):
-        if x != y:
-            break
-        shared += 1
-    return len(a.path) + len(b.path) - 2 * shared
+    """Steps from one block to the other over their nearest common element, at most ``FAR``."""
+    x, y = a.node, b.node
+    for steps in range(FAR):
+        if x.number == y.number:
+            return steps
+        if x.depth >= y.depth:
+            x = x.outer
+        else:
+            y = y.outer
+    return FAR
 
 
 def smoothness(blocks: list[Block]) -> dict[tuple[int, int], float]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import scratch_path
+from plumbline.session import cut
 
 SLICE_BYTES = 1 << 20
 MEMO_ROWS = 400_000
@@ -55,10 +55,11 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cheap column reads, no lineage to redo."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet in the shared folder and read it back: cheap column reads, no lineage to redo.
+
+    The copies go with ``session.release``, once what is made of them has been written.
+    """
+    return cut(df, name)
 
 
 def fold(id_col: str, modulus: int) -> Column:

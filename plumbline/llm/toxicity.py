@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,7 @@ from plumbline.llm.text_blocks import (
 
 PER_CLASS = 6000
 ORDER = 5
+PART_LETTERS = 1 << 16  # letters judged at once
 DISCOUNT = 2.0
 EXCESS = 3.0
 FOLDS = 4
@@ -101,7 +103,14 @@ class Model:
         return Model(keys, table, totals, taken)
 
     def evidence(self, words: list[bytes]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary)."""
+        """log P(word | toxic) - log P(word | ordinary), in parts of about ``PART_LETTERS`` letters."""
+        ends = np.cumsum([len(w) for w in words])
+        cuts = np.searchsorted(ends, np.arange(PART_LETTERS, ends[-1] if len(words) else 0, PART_LETTERS), side="right").tolist()
+        places = sorted({0, *cuts, len(words)})
+        parts = [self._evidence(words[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)]
+        return np.concatenate([np.zeros(0), *parts])
+
+    def _evidence(self, words: list[bytes]) -> np.ndarray:
         g = grams(words)
         size = len(g.word)
         if not size:
@@ -241,18 +250,24 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     )
     found = {c: table.column(c).to_numpy() for c in table.column_names}
     found |= {c: found[c].view(np.uint64) for c in ("code", "hist", "suffix")}
-    parts = spark.sparkContext.broadcast([_model(found, f) for f in range(FOLDS)])
 
-    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memos = [Memo(1) for _ in range(FOLDS)]
-        for batch in batches:
-            for f in range(FOLDS):
-                chosen = batch.filter(pa.array(np.array(batch.column("fold")) == f))
-                for part in row_slices(chosen, "text"):
-                    x = _features(parts.value[f], memos[f], part, "text")
-                    yield pa.record_batch({f"x{c}": pa.array(x[:, c]) for c in range(4)} | {"label": part.column("label")})
-
-    points = sample.mapInArrow(left_out, "x0 double, x1 double, x2 double, x3 double, label int").toArrow()
+    def left_out(part: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            memo = Memo(1)
+            for batch in batches:
+                for rows in row_slices(batch, "text"):
+                    x = _features(part.value, memo, rows, "text")
+                    yield pa.record_batch({f"x{c}": pa.array(x[:, c]) for c in range(4)} | {"label": rows.column("label")})
+
+        return run
+
+    points = []
+    for f in range(FOLDS):  # one model of a fold at a time
+        part = spark.sparkContext.broadcast(_model(found, f))
+        chosen = sample.where(F.col("fold") == f)
+        points.append(chosen.mapInArrow(left_out(part), "x0 double, x1 double, x2 double, x3 double, label int").toArrow())
+        part.unpersist()
+    points = pa.concat_tables(points)
     x = np.stack([points.column(f"x{c}").to_numpy() for c in range(4)], axis=1)
     model = _model(found)
     model.weights = _fit_curve(x, points.column("label").to_numpy().astype(float), sizes)

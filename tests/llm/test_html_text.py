@@ -67,3 +67,41 @@ def test_long_page_and_clashing_names(spark):
     rows = found.collect()
     assert name == "_main_text" and sorted(len(r[name].split("\n\n")) for r in rows) == [1, 3000, 3000]
     assert html_text.with_main_text(df.limit(0))[0].count() == 0
+
+
+@pytest.mark.parametrize(("page", "wanted"), [
+    ("<html><head><title>x</title><h1>Title of it</h1><p>One paragraph of the text.</p>", ["Title of it", "One paragraph of the text."]),
+    ("<html><head><title>x</title><meta a=b><script>s</script>Text that simply begins.<p>And goes on.", ["Text that simply begins.", "And goes on."]),
+    ("<title>x</title><p>No head at all, only some text.", ["No head at all, only some text."]),
+    ("<article><h2 id='related-work'>Related work</h2><p>Others have done things before.</p></article>",
+     ["Related work", "Others have done things before."]),
+    ("<article><p>The first part of the text.</p><section id='social-impact'><h2>Impact</h2><p>It changes how people live.</p></section></article>",
+     ["The first part of the text.", "Impact", "It changes how people live."]),
+    ("<article><p>The first part of the text.</p><div id='share-buttons'><p>Send this to all of your friends.</p></div></article>",
+     ["The first part of the text."]),
+    ("<article><p>The first part of the text.</p><div id='related-posts-2'><p>Another story that you may like.</p></div></article>",
+     ["The first part of the text."]),
+])
+def test_left_out_tags_and_anchors(page, wanted):
+    assert html_text.main_blocks(page) == wanted
+
+
+def test_distance_is_that_of_the_nearest_common_element():
+    reader = html_text.Blocks()
+    reader.feed("<div>" * 60 + "<ul><li>a<li>b</ul>" + "<div>" * 9 + "c" + "</div>" * 69 + "d")
+    reader.close()
+    a, b, c, d = reader.blocks
+    assert [html_text._distance(a, x) for x in (a, b, c, d)] == [0, 2, 11, 62]
+    assert html_text._distance(c, d) == html_text.FAR  # 69 steps
+
+
+def test_the_cut_overrules_the_classifier():
+    """A doubtful line between two sure neighbours of the same parent goes with them; without edges it would not."""
+    page = "<article><div><p>A long first paragraph with many words in it, of the story.</p><p>x: 1</p><p>A long last paragraph with many words in it.</p></div></article>"
+    reader = html_text.Blocks()
+    reader.feed(page)
+    reader.close()
+    scores = [3.0, -0.4, 3.0]
+    edges = html_text.smoothness(reader.blocks)
+    assert html_text.minimum_cut(scores, {}) == [True, False, True]
+    assert html_text.minimum_cut(scores, edges) == [True, True, True]
