@@ -136,7 +136,7 @@ def threshold_curve(df: DataFrame) -> DataFrame:
         collapsed, ["class"], [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}
     )
     sizes = collapsed.groupBy("class").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return curve.join(sizes, "class")
+    return curve.join(F.broadcast(sizes), "class")  # one row per class
 
 
 def roc_points(curve: DataFrame) -> DataFrame:

@@ -9,14 +9,21 @@ from pyspark.sql import functions as F
 
 from plumbline.config import SEED
 from plumbline.operators.ranking import by_group, global_rank, hashed_rank
+from plumbline.session import cut
 from plumbline.sources.tables import seeded_order
 
 
+# Strata whose sizes are broadcast: about 3 MB.  Beyond it they meet the rows in an ordinary join.
+BROADCAST_STRATA = 100_000
+
+
 def _ranked(df: DataFrame, stratum: str, seed: int) -> DataFrame:
+    """Rank and size within the stratum.  The strata are counted first; few ones are broadcast, so no row moves to its
+    stratum and a hot one stays where its rows are."""
     keyed = df.select("id", F.col(stratum).alias("_stratum"), seeded_order(seed).alias("_digest"))
     ranked = hashed_rank(keyed, ["_stratum"], "_digest", "id", "_rank")
-    sizes = keyed.groupBy("_stratum").agg(F.count("*").alias("_size"))
-    return by_group(ranked, sizes, ["_stratum"])
+    sizes = cut(keyed.groupBy("_stratum").agg(F.count("*").alias("_size")))
+    return by_group(ranked, sizes, ["_stratum"], small=sizes.count() <= BROADCAST_STRATA)
 
 
 def stratified_split(df: DataFrame, stratum: str, seed: int = SEED) -> DataFrame:

@@ -330,14 +330,8 @@ def decision_runs(preds: DataFrame, seeds: Sequence[int] = tuple(ABLATION_SEEDS)
 
     All seeds are split in one pass: the seed is part of the stratum and of the hash.
     """
-    from plumbline.operators.ranking import hashed_rank
-
     per_seed = preds.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    digest = F.md5(F.concat(F.col("seed").cast("string"), F.lit("-"), F.col("id").cast("string")))
-    keyed = per_seed.withColumn("_digest", digest)
-    ranked = hashed_rank(keyed, ["seed", "y"], "_digest", "id", "_rank")
-    sizes = keyed.groupBy("seed", "y").agg(F.count("*").alias("_size"))
-    test = ranked.join(sizes, ["seed", "y"]).filter(F.col("_rank") <= F.round(F.col("_size") * 0.2))
+    test = splits.label_splits(per_seed, ["seed"], "y", "seed").filter(F.col("split") == "test").drop("split")
     by_cost = decisions.with_cost_decision(test).withColumnRenamed("y_pred", "_cost")
     both = decisions.with_argmax(by_cost)
     rules = F.array(
