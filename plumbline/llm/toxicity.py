@@ -39,6 +39,7 @@ from plumbline.llm.text_blocks import (
 PER_CLASS = 6000
 ORDER = 5
 PART_LETTERS = 1 << 16  # letters judged at once
+COUNT_BYTES = 1 << 17  # text counted at once: a letter takes some 400 bytes while its stretches are counted
 DISCOUNT = 2.0
 EXCESS = 3.0
 FOLDS = 4
@@ -188,7 +189,7 @@ def _counts(text: str):
         none = np.zeros(0, np.uint64)
         kept = none, none, none, np.zeros((0, 2 * FOLDS))
         for batch in batches:
-            for part in row_slices(batch, text):
+            for part in row_slices(batch, text, COUNT_BYTES):
                 kept = merged(*(np.concatenate(x) for x in zip(kept, of_slice(part), strict=True)))
         arrays = {c: pa.array(v.view(np.int64)) for c, v in zip(("code", "hist", "suffix"), kept, strict=False)}
         yield pa.record_batch(arrays | {f"n{c}": pa.array(kept[3][:, c].astype(np.int64)) for c in range(2 * FOLDS)})
