@@ -36,48 +36,71 @@ _BUILT: dict[int, WindowSet] = {}
 
 
 class WindowSet:
-    """Windows of some items by hash, with their words for verification."""
+    """Windows of some items, sorted by hash, with the bytes of their words for verification, in flat arrays."""
 
     def __init__(self, items: list[tuple[str | None, str]], width: int):
-        data, offsets = text_bytes(pa.record_batch({"t": pa.array([t for _, t in items], pa.string())}), "t")
-        words = split_words(data, offsets, ALNUM)
-        rolling = Rolling(word_hashes(words))
-        self.found: dict[int, dict[bytes, set[str]]] = {}
-        self.lengths: set[int] = set()
-        for k, (name, _) in enumerate(items):
-            a, b = words.first[k], words.first[k + 1]
-            n = min(width, b - a)
-            if not n:
-                continue
-            self.lengths.add(int(n))
-            starts = np.arange(a, b - n + 1)
-            for s, h in zip(starts, rolling.of(starts, starts + n).tolist(), strict=True):
-                content = b" ".join(words.text(i) for i in range(s, s + n))
-                self.found.setdefault(h, {}).setdefault(content, set()).update([name] if name is not None else [])
-        self.hashes = np.sort(np.fromiter(self.found, np.uint64, len(self.found)))
-        # A bit table in front of the sorted hashes answers almost all lookups.
-        self.bits = np.zeros(1 << max(16, int(np.ceil(np.log2(len(self.hashes) + 1))) + 6), bool)
+        self.names = [name for name, _ in items]
+        data, start, end, item = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        hashes, firsts, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        n_bytes = n_words = n_items = 0
+        for part in row_slices(pa.record_batch({"t": pa.array([t for _, t in items], pa.string())}), "t"):
+            words = split_words(*text_bytes(part, "t"), ALNUM)
+            count = np.diff(words.first)
+            size = np.minimum(width, count)
+            windows = np.where(size > 0, count - size + 1, 0)
+            of = np.repeat(np.arange(len(count)), windows)
+            s = words.first[of] + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+            hashes.append(Rolling(word_hashes(words)).of(s, s + size[of]))
+            firsts.append((s + n_words).astype(np.int32))
+            sizes.append(size[of].astype(np.int32))
+            data.append(words.data)
+            start.append(words.start + n_bytes)
+            end.append(words.end + n_bytes)
+            item.append((words.doc + n_items).astype(np.int32))
+            n_bytes, n_words, n_items = n_bytes + len(words.data), n_words + len(words), n_items + part.num_rows
+        self.words = Words(*(np.concatenate(x) for x in (data, start, end, item)), first=np.zeros(0, np.int64))
+        every = np.concatenate(hashes)
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.first, self.size = every[order], np.concatenate(firsts)[order], np.concatenate(sizes)[order]
+        self.lengths = np.unique(self.size).tolist()
+        # A table in front of the sorted hashes answers most lookups.
+        self.bits = np.zeros(1 << max(16, int(np.ceil(np.log2(len(self.hashes) + 1))) + 3), bool)
         self.mask = np.uint64(len(self.bits) - 1)
         self.bits[self.hashes & self.mask] = True
         self.seen: dict[tuple[int, bytes], set[str] | None] = {}
 
+    def likely(self, hashes: np.ndarray) -> np.ndarray:
+        """Which hashes are those of a window."""
+        out = self.bits[hashes & self.mask]
+        asked = hashes[out]
+        if len(asked):
+            out[out] = self.hashes[np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)] == asked
+        return out
+
     def verified(self, words: Words, s: int, n: int, code: int, stretch: bytes) -> set[str] | None:
         """Items of the window at word ``s``, if its words are those of a window; remembered by the very bytes."""
         if (n, stretch) not in self.seen:
             if len(self.seen) >= SEEN:
                 self.seen.clear()
-            content = b" ".join(words.text(i) for i in range(s, s + n))
-            self.seen[n, stretch] = self.found.get(code, {}).get(content)
+            content, found = [words.text(i) for i in range(s, s + n)], None
+            low, high = (int(np.searchsorted(self.hashes, np.uint64(code), side)) for side in ("left", "right"))
+            for k in range(low, high):
+                at = int(self.first[k])
+                if self.size[k] == n and all(self.words.text(at + i) == content[i] for i in range(n)):
+                    found = set() if found is None else found
+                    name = self.names[self.words.doc[at]]
+                    found.update([name] if name is not None else [])
+            self.seen[n, stretch] = found
         return self.seen[n, stretch]
 
     def hits(self, words: Words) -> Iterator[tuple[int, int, set[str]]]:
         """(first word, words, items) of each verified window."""
         rolling, raw = Rolling(word_hashes(words)), words.data.tobytes()
-        for n in sorted(self.lengths):
+        for n in self.lengths:
             starts = np.arange(max(0, len(words) - n + 1))
             starts = starts[words.doc[starts] == words.doc[starts + n - 1]] if len(starts) else starts
             hashes = rolling.of(starts, starts + n)
-            likely = self.bits[hashes & self.mask]
+            likely = self.likely(hashes)
             starts, hashes = starts[likely], hashes[likely]
             froms, tos = words.start[starts].tolist(), words.end[starts + n - 1].tolist()
             for s, h, a, b in zip(starts.tolist(), hashes.tolist(), froms, tos, strict=True):
@@ -128,7 +151,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
          width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, tuple[str, str, str]]:
     """``docs`` plus three columns, whose names come second: words, positions of the hit words, ids of the items."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL")
+    items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     names = tuple(fresh(docs, x) for x in ("bench_words", "bench_positions", "bench_items"))
