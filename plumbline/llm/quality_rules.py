@@ -3,16 +3,20 @@
 Per document: counts of words, characters in words, symbols, repeated lines and words in repeated three-word windows.
 The fixed base rules come first.  On top, each of four rates has an upper cutoff per stratum.  Candidate cutoffs are
 quantiles of the labelled good documents of one half (proposal); each is tested on the other half (holdout), which no
-candidate has seen.  The null hypothesis "this cutoff rejects more than ``risk`` of the good documents of the stratum"
-is tested with the exact binomial lower tail of the number of false rejections, and all hypotheses of all strata, rates
-and quantiles share the error ``delta`` by Bonferroni's correction.  With probability ``1 - delta`` every cutoff in
-use therefore rejects at most ``risk`` of the good documents.  Of the proven cutoffs of a rate the strictest is used;
-without a proven one the rate rejects nothing in that stratum.
+candidate has seen.  Halves are dealt by the hash of the text and a text counts once in its stratum, so exact copies
+never stand in both and do not pass for evidence of their own.  The rates share the ``risk`` in equal parts.  The null
+hypothesis "this cutoff rejects more than its rate's part of the good texts of the stratum" is tested with the exact
+binomial lower tail of the number of false rejections, and all hypotheses of all strata, rates and quantiles share the
+error ``delta`` by Bonferroni's correction.  With probability ``1 - delta`` the cutoffs in use together therefore reject
+at most ``risk`` of the distinct good texts of any stratum, among those that pass the base rules: what these fixed rules
+reject lies outside the promise, and near copies count as different texts.  Of the proven cutoffs of a rate the
+strictest is used; without a proven one the rate rejects nothing in that stratum.
 
 Defined results: a null or empty text has no words and fails the base rules; a null stratum is a stratum; a stratum
 without labels rejects by the base rules only; labels that are null or refer to no document are ignored; documents
-repeated with the same id are judged one by one, and a repeated label counts as one more labelled row.  Rates of texts
-that fail the base rules are not used for cutoffs.
+repeated with the same id are judged one by one, and a repeated label or labelled text counts once; an empty table
+gives no row; a text of any length is one row of its task; columns of other names are not looked at, clashing ones
+included.  Rates of texts that fail the base rules are not used for cutoffs; a value equal to its cutoff is kept.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.text_blocks import fresh, stored
 
-RISK = 0.01  # share of good documents that one rate may reject in a stratum
+RISK = 0.04  # share of good texts that all rates together may reject in a stratum
 DELTA = 0.05  # chance that any cutoff breaks that
 QUANTILES = [995, 998, 1000]  # of a thousand
 # Rate: counts above and below, and steps of the grid it is rounded up to.  The grid bounds the distinct values.
@@ -125,13 +129,17 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def good_documents(measured_docs: DataFrame, labels: DataFrame, ident: str, stratum: str) -> DataFrame:
-    """Rates of the labelled good documents that pass the base rules, with stratum and half."""
+    """Rates of the distinct labelled good texts that pass the base rules, with stratum and half.
+
+    ``measured_docs`` has the md5 of each text as ``digest``.
+    """
     good = labels.where("quality = 1").select(F.col("doc_id").alias("label_id"))
     scored = measured_docs.where("NOT base_failed").select(
-        F.col(ident).alias("id"), F.col(stratum).alias("stratum"), *[rate(F.col("m"), r).alias(r) for r in RATES]
+        F.col(ident).alias("id"), F.col(stratum).alias("stratum"), "digest", *[rate(F.col("m"), r).alias(r) for r in RATES]
     )
-    half = (F.substring(F.md5(F.concat(F.lit("half "), F.col("id").cast("string"))), 1, 1) >= "8").cast("int")
-    return scored.join(good, F.col("id") == F.col("label_id")).select("stratum", half.alias("half"), *RATES)
+    half = (F.substring("digest", 1, 1) >= "8").cast("int").alias("half")
+    known = scored.join(good, F.col("id") == F.col("label_id"))
+    return known.select("stratum", "digest", half, *RATES).distinct().drop("digest")
 
 
 def cutoffs(good: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -154,7 +162,7 @@ def cutoffs(good: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFr
         candidates.join(holdout, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rate") == F.col("r")))
         .groupBy("stratum", "rate", "cutoff")
         .agg(F.sum(F.when(F.col("value") > F.col("cutoff"), F.col("n")).otherwise(0)).alias("k"), F.sum("n").alias("n"))
-        .withColumn("p", binomial_tail(F.col("k"), F.col("n"), risk))
+        .withColumn("p", binomial_tail(F.col("k"), F.col("n"), risk / len(RATES)))
     )
     hypotheses = candidates.agg(F.count("*").alias("hypotheses")).scalar()
     return tested.withColumn("proven", F.col("p") <= delta / hypotheses)
@@ -174,7 +182,10 @@ def judge(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
     ``kept`` means: not failed by the base rules and within every proven cutoff of the stratum.  The counts are stored
     once, without texts.
     """
-    found = measured(docs.select(F.col(ident).alias("id"), F.col(stratum).alias("stratum"), F.col(text).alias("text")))
+    found = measured(docs.select(
+        F.col(ident).alias("id"), F.col(stratum).alias("stratum"), F.col(text).alias("text"),
+        F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"),
+    ))
     found = stored(found, "quality-counts")
     limits = thresholds(cutoffs(good_documents(found, labels, "id", "stratum"), risk, delta))
     limits = limits.withColumnRenamed("stratum", "limit_stratum")

@@ -49,6 +49,7 @@ _CUTS = " UNION ".join(
 )
 _WITHIN = " AND ".join(f"({r} <= coalesce(max_{r}, {r}))" for r in RATES)
 
+_PART = RISK / len(RATES)
 QUALITY_RULES = f"""
 WITH docs AS (
     SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t,
@@ -62,7 +63,7 @@ WITH docs AS (
 ), covered AS (
     SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM twice) GROUP BY r
 ), counted AS (
-    SELECT r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words,
+    SELECT r, doc_id, lang, md5(t) AS digest, CAST(len(w) AS BIGINT) AS n_words,
            CAST(length(list_aggregate(w, 'string_agg', '')) AS BIGINT) AS chars,
            CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
            CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
@@ -74,7 +75,7 @@ WITH docs AS (
 ), rated AS (
     SELECT *, {_RATES} FROM judged
 ), good AS (
-    SELECT lang, CASE WHEN md5('half ' || doc_id)[1] < '8' THEN 0 ELSE 1 END AS half, {', '.join(RATES)}
+    SELECT DISTINCT lang, digest, CASE WHEN digest[1] < '8' THEN 0 ELSE 1 END AS half, {', '.join(RATES)}
     FROM rated JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed
 ), long AS ({_LONG}),
 by_value AS (SELECT lang, half, rate, value, count(*) AS n FROM long GROUP BY ALL),
@@ -89,8 +90,8 @@ tested AS (
     GROUP BY ALL
 ), proven AS (
     SELECT lang, rate, min(cutoff) AS cutoff FROM tested
-    WHERE k < n * {RISK} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(
-        lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})
+    WHERE k < n * {_PART} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(
+        lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_PART}) + (n - j) * ln(1 - {_PART})
     ))) <= {DELTA} / (SELECT count(*) FROM candidates)
     GROUP BY lang, rate
 ), limits AS (
