@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline import config
 from plumbline.functions import hashing, measures, text
-from plumbline.operators import features, matrix, tfidf
+from plumbline.operators import features, labeling, matrix, tfidf
 
 PIECES = [*" \t\n\r\x0b\x1c\x85  　.!?,;-_'éßaeizbcxyZ9½文ёİΣσ𝐀😀", "\r\n", ". ", "...", ".\u0085", "is ", "was ", "be\t", "been ",
           "built", "quickly ", "red", "painted", "user-friendly", "user-", "friendly", "might", "efficient", "understood", "beautiful", "the"]
@@ -66,3 +66,21 @@ def test_a_text_is_not_searched_once_per_pattern(spark):
     df = frame(spark).withColumnRenamed("s", "full_text")
     plan = matrix.embed_texts(features.symbolic_features(df), "full_text")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all(lower" not in plan and "HashingTF" not in plan
+
+
+def test_lexicons_are_searched_together(spark):
+    rng = random.Random(11)
+    terms = [*sum(config.LF_TERMS.values(), []), *config.SATD_TERMS, *config.SECURITY_TERMS, "blocked by #3", "dependenc", "Blocking", "É"]
+    rows = [("x", "".join(rng.choice([*terms, " ", "a"]) for _ in range(rng.randint(0, 6)))) for _ in range(1500)] + [("x", None)]
+    df = spark.createDataFrame(rows, "title string, full_text string").withColumns(
+        {"description": F.col("full_text"), "story_points": F.lit(3.0), "word_count": F.lit(3), "list_item_count": F.lit(3)}
+    ).withColumn("low", F.lower("full_text"))
+    votes = labeling.apply_functions(df, keep=["low"])
+    for name, wanted in labeling.TEXT_LEXICONS.items():
+        expected = F.col("low").rlike(config.DEPENDENCY_PATTERN) if name == "lf_dependency_link" else text.contains_any(F.col("low"), wanted)
+        assert votes.filter((F.col(name) >= 0) != F.coalesce(expected, F.lit(False))).count() == 0, name
+    counted = df.withColumn("n", measures.lexicon_counts(F.col("low"), {"satd": config.SATD_TERMS, "security": config.SECURITY_TERMS}))
+    for name, wanted in (("satd", config.SATD_TERMS), ("security", config.SECURITY_TERMS)):
+        expected = F.coalesce(text.total_occurrences(F.col("low"), wanted), F.lit(0.0))
+        assert counted.filter(F.col(f"n.{name}") != expected).count() == 0
+    assert "Contains(_text" not in votes._jdf.queryExecution().optimizedPlan().toString()
