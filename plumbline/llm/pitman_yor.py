@@ -31,11 +31,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkContext, TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.seating import DISCOUNT, STRENGTH, draw, draw_mass
@@ -52,6 +53,9 @@ END = np.uint64(1)
 START = np.uint64(2)
 WIDE = 4096
 FLUSH = 1 << 20
+CHUNK = 1 << 19
+BUCKETS = 64
+BUCKET = 1 << 22
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,23 +67,58 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes, first
 
 
+def _among(listed: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of codes in an ordered list, and whether they are there."""
+    at = np.minimum(np.searchsorted(listed, codes), max(0, len(listed) - 1))
+    return at, listed[at] == codes if len(listed) else np.zeros(len(codes), bool)
+
+
+class Places:
+    """Places of codes in an ordered list.  Codes are spread evenly, so their first bits nearly tell the place."""
+
+    def __init__(self, listed: np.ndarray):
+        self.listed, self.bits = listed, max(8, len(listed).bit_length())
+        self.begin = np.searchsorted(listed, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each code, or a place near it, and whether the code is there."""
+        if not len(self.listed):
+            return np.zeros(len(codes), np.int32), np.zeros(len(codes), bool)
+        last = len(self.listed) - 1
+        at = np.minimum(self.begin[(codes >> np.uint64(64 - self.bits)).view(np.int64)], last)
+        found = self.listed[at]
+        rest = np.flatnonzero((found < codes) & (at < last))
+        while len(rest):
+            at[rest] += 1
+            found[rest] = self.listed[at[rest]]
+            rest = rest[(found[rest] < codes[rest]) & (at[rest] < last)]
+        return at, found == codes
+
+
 # --- counts --------------------------------------------------------------------------------------------------
 
 
+def _merged(kept: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, inverse = np.unique(np.concatenate([c for c, _ in kept]), return_inverse=True)
+    return codes, np.bincount(inverse, np.concatenate([n for _, n in kept]), len(codes)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept_codes, kept_n, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    kept, waiting = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
 
     def rows() -> pa.RecordBatch:
-        return pa.record_batch({"h": pa.array(kept_codes.view(np.int64)), "c": pa.array(kept_n)})
+        return pa.record_batch({"h": pa.array(kept[0][0].view(np.int64)), "c": pa.array(kept[0][1])})
 
     for batch in batches:
         for part in row_slices(batch, "text"):
-            codes, n = np.unique(tokens(*text_bytes(part, "text"))[0], return_counts=True)
-            kept_codes, inverse = np.unique(np.concatenate([kept_codes, codes]), return_inverse=True)
-            kept_n = np.bincount(inverse, np.concatenate([kept_n, n]), len(kept_codes)).astype(np.int64)
-            if len(kept_codes) > FLUSH:
-                yield rows()
-                kept_codes, kept_n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            kept.append(np.unique(tokens(*text_bytes(part, "text"))[0], return_counts=True))
+            waiting += len(kept[-1][0])
+            if waiting > CHUNK:
+                kept, waiting = [_merged(kept)], 0
+                if len(kept[0][0]) > FLUSH:
+                    yield rows()
+                    kept = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    kept = [_merged(kept)]
     yield rows()
 
 
@@ -127,24 +166,27 @@ class Menu:
         return len(self.codes)
 
     def dishes(self, codes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
-        return np.where(self.codes[at] == codes, at, self.rare) if len(self.codes) else np.zeros(len(codes), int)
+        if not len(self.codes):
+            return np.zeros(len(codes), int)
+        at, there = self.places.of(codes)
+        return np.where(there, at, self.rare)
+
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.codes)
 
     def contexts(self, dishes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Number of the context of each token."""
         rank = np.r_[self.near, -1][dishes]
-        place = np.arange(len(dishes))
-        begin = np.repeat(first[:-1], np.diff(first))
-        marks = np.flatnonzero(rank >= 0)
+        marked = rank >= 0
+        ends = first[1:][first[1:] > first[0]] - 1
+        marked[ends] = True  # nothing is known beyond the end of a document
+        rank[ends] = NEAR
+        last = rank[marked]
+        before = np.r_[NEAR, last[:-1]][: len(last)]
+        found = last * (FAR + 1) + np.where((before < FAR) & (last < NEAR), before, FAR)
         # For each token the number of marks before it, and through it the last mark and the one before that.
-        seen = np.searchsorted(marks, place)
-        out = []
-        for back, limit in ((1, NEAR), (2, FAR)):
-            mark = marks[np.maximum(seen - back, 0)] if len(marks) else np.zeros(len(place), int)
-            valid = (seen >= back) & (mark >= begin) if len(marks) else np.zeros(len(place), bool)
-            found = np.where(valid, rank[mark], limit) if len(marks) else np.full(len(place), limit)
-            out.append(np.where(found < limit, found, limit))
-        return out[0] * (FAR + 1) + out[1]
+        return np.r_[NEAR * (FAR + 1) + FAR, found][np.cumsum(marked) - marked]
 
 
 CONTEXTS = (NEAR + 1) * (FAR + 1)
@@ -162,24 +204,39 @@ def menu(known: Corpus, dishes: int = DISHES) -> Menu:
     return Menu(codes, near)
 
 
-def count_contexts(texts: DataFrame, served: Menu) -> DataFrame:
-    """(context, dish, c) over all tokens of the column ``text``."""
-    shared = texts.sparkSession.sparkContext.broadcast(served)
+def count_contexts(texts: DataFrame, width: int, shared: Shared) -> tuple[DataFrame, DataFrame]:
+    """(x, dish, c) of all tokens of the column ``text``, and (v, w, x) of those outside the cache: the word before, the
+    word and the context.  One reading writes both as blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        width = m.rare + 1
-        table = np.zeros(CONTEXTS * width, np.int64)
-        for batch in batches:
-            for part in row_slices(batch, "text"):
-                codes, first = tokens(*text_bytes(part, "text"))
-                dishes = m.dishes(codes)
-                keys, n = np.unique(m.contexts(dishes, first) * width + dishes, return_counts=True)
-                table[keys] += n
+        m, table = shared.value, np.zeros(CONTEXTS * width, np.int64)
+        for codes, first, _ in _chunks(batches, "text"):
+            known, v, w, x, lost = _read(m, codes, first)
+            keys, n = np.unique(x * width + m.served.dishes(codes), return_counts=True)
+            table[keys] += n
+            if lost.any():
+                block = _pack(known.codes(v[lost]), codes[lost], x[lost].astype(np.uint16))
+                yield pa.record_batch({"counts": pa.nulls(1, pa.binary()), "lost": pa.array([block], pa.binary())})
         at = np.flatnonzero(table)
-        yield pa.record_batch({"x": pa.array(at // width), "dish": pa.array(at % width), "c": pa.array(table[at])})
+        block = _pack(at.astype(np.uint32), table[at].astype(np.uint64))
+        yield pa.record_batch({"counts": pa.array([block], pa.binary()), "lost": pa.nulls(1, pa.binary())})
 
-    return texts.mapInArrow(run, "x long, dish long, c long").groupBy("x", "dish").agg(F.sum("c").alias("c"))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("counts"):
+                at, c = (y.astype(np.int64) for y in _unpack(block.as_py(), (np.uint32, np.uint64)))
+                yield pa.record_batch({"x": at // width, "dish": at % width, "c": c})
+
+    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("lost"):
+                v, w, x = _unpack(block.as_py(), (np.int64, np.int64, np.uint16))
+                yield pa.record_batch({"v": v, "w": w, "x": x.astype(np.int64)})
+
+    read = stored(texts.mapInArrow(run, "counts binary, lost binary"), "lm-contexts")
+    counts = read.where("counts IS NOT NULL").select("counts").mapInArrow(counted, "x long, dish long, c long")
+    lost = read.where("lost IS NOT NULL").select("lost").mapInArrow(missing, "v long, w long, x long")
+    return counts.groupBy("x", "dish").agg(F.sum("c").alias("c")), lost
 
 
 # --- seating -------------------------------------------------------------------------------------------------
@@ -308,150 +365,378 @@ def average_predictive(pairs: DataFrame, width: int, burn_in: int = BURN_IN, sam
     return total / samples
 
 
+# --- blocks --------------------------------------------------------------------------------------------------
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns as one compressed block; the first bytes of all numbers lie together, then the second ones, and so on."""
+    sizes = np.array([len(c) for c in columns], np.int64).tobytes()
+    raw = sizes + b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(block: bytes, types: tuple[type, ...]) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(block[8:], int.from_bytes(block[:8], "little"), "zstd"), np.uint8)
+    at, out = 8 * len(types), []
+    for n, kind in zip(raw[:at].view(np.int64), types, strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return out
+
+
+def _distinct(*fields: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of whole numbers from 0 in their order, and how often each occurs."""
+    if not len(fields[0]):
+        return list(fields), np.zeros(0, np.int64)
+    bits = [int(f.max()).bit_length() for f in fields]
+    if sum(bits) > 64:
+        order = np.lexsort(fields[::-1])
+        rows = [f[order] for f in fields]
+        at = np.flatnonzero(np.r_[True, np.any([f[1:] != f[:-1] for f in rows], axis=0)])
+        return [f[at] for f in rows], np.diff(np.r_[at, len(order)])
+    key = np.zeros(len(fields[0]), np.uint64)
+    for f, b in zip(fields, bits, strict=True):
+        key = (key << np.uint64(b)) | f.astype(np.uint64)
+    key.sort()
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    n, key, rows = np.diff(np.r_[at, len(key)]), key[at], []
+    for b in reversed(bits):
+        rows.append((key & np.uint64((1 << b) - 1)).astype(np.int32 if b < 32 else np.int64))
+        key = key >> np.uint64(b)
+    return rows[::-1], n
+
+
+def _starts(*fields: np.ndarray) -> np.ndarray:
+    """Where rows differ from the one before."""
+    if not len(fields[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, np.any([f[1:] != f[:-1] for f in fields], axis=0)])
+
+
+def _runs(at: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.r_[at, n])
+
+
+ASKED = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint16, np.uint32, np.uint32)
+SEATED = (np.uint64, np.uint32, np.uint32, np.uint32, np.uint64, np.uint64)
+OPEN = (*SEATED[:-1], np.float64)
+
+
+def _asked(m: Model, known: Bucket, v: np.ndarray, w: np.ndarray, x: np.ndarray, n: np.ndarray,
+           doc: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """Blocks of ordered rows (word before, word, context, times, document) by bucket; words are numbers of ``known``."""
+    cached, at = len(m.known.codes), _starts(v, w)
+    dealt = np.repeat(m.deal(known.codes(v[at]), known.codes(w[at])), _runs(at, len(v)))
+    order = np.argsort(dealt, kind="stable")
+    ends = np.searchsorted(dealt[order], np.arange(m.buckets + 1))
+    for b in np.flatnonzero(np.diff(ends)):
+        part = order[ends[b] : ends[b + 1]]
+        v_, w_ = v[part], w[part]
+        pair = _starts(v_, w_)
+        run = _starts(v_[pair])
+        refs, others = _refs(np.r_[v_[pair][run], w_[pair]], cached)
+        columns = (known.others[others], known.counts[others], refs[: len(run)], _runs(run, len(pair)), refs[len(run) :],
+                   _runs(pair, len(part)), x[part], n[part], np.zeros(0) if doc is None else doc[part])
+        yield int(b), _pack(*(c.astype(kind) for c, kind in zip(columns, ASKED, strict=True)))
+
+
+def _refs(words: np.ndarray, cached: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words numbered for one block: places in the cache as they are, and which of the others are there, in their order."""
+    outside = words >= cached
+    others = np.unique(words[outside])
+    refs = words.copy()
+    refs[outside] = cached + np.searchsorted(others, words[outside])
+    return refs, others - cached
+
+
+def _codes(m: Model, others: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    out, inside = np.zeros(len(refs), np.uint64), refs < len(m.known.codes)
+    out[inside] = m.known.codes[refs[inside]]
+    out[~inside] = others[refs[~inside] - len(m.known.codes)]
+    return out
+
+
+@dataclass
+class Bucket:
+    """Numbers of words that hold for all blocks of a bucket: places in the cache, then the codes found besides."""
+
+    m: Model
+    others: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def of(m: Model, codes: list[np.ndarray], counts: list[np.ndarray]) -> Bucket:
+        others, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]), return_inverse=True)
+        best = np.zeros(len(others), np.int64)
+        np.maximum.at(best, inverse, np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64))
+        return Bucket(m, others, best)
+
+    def numbers(self, refs: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        cached, refs = len(self.m.known.codes), refs.astype(np.int64)
+        at = np.r_[np.searchsorted(self.others, codes), 0]
+        return np.where(refs < cached, refs, cached + at[np.clip(refs - cached, 0, len(at) - 1)])
+
+    def codes(self, numbers: np.ndarray) -> np.ndarray:
+        return _codes(self.m, self.others, numbers)
+
+    def parent(self, words: np.ndarray, of: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Probability at the parent of the words ``words[of]`` in contexts ``x``."""
+        m, codes, c = self.m, self.codes(words), np.zeros(len(words), np.int64)
+        dishes, inside = m.served.dishes(codes), words < len(m.known.codes)
+        c[inside] = m.known.counts[words[inside]]
+        c[~inside] = self.counts[words[~inside] - len(m.known.codes)]
+        rare = (dishes == m.served.rare) & (codes != END)
+        factor = np.where(rare, 10.0 ** m.log_rare(c), 1.0)
+        return 10.0 ** m.log_dish[x, dishes[of]].astype(float) * factor[of]
+
+
 # --- pairs ---------------------------------------------------------------------------------------------------
 
 
-def _before(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The word before each token."""
-    v = np.r_[START, codes[:-1]]
-    v[first[:-1]] = START
-    return v
+def _chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table]]:
+    """Codes of about ``CHUNK`` tokens, the first token of each document, and the other columns of the documents."""
+    kept, n = [], 0
 
+    def whole() -> tuple[np.ndarray, np.ndarray, pa.Table]:
+        begin = np.cumsum([0, *(len(c) for c, _, _ in kept)])
+        first = np.concatenate([*(f[:-1] + b for (_, f, _), b in zip(kept, begin[:-1], strict=True)), begin[-1:]])
+        return np.concatenate([c for c, _, _ in kept]), first, pa.Table.from_batches([p for _, _, p in kept])
 
-def _pair_code(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mixed(v * np.uint64(0x9E3779B97F4A7C15) + mixed(w))
+    for batch in batches:
+        for part in row_slices(batch, text):
+            codes, first = tokens(*text_bytes(part, text))
+            kept.append((codes, first, part.drop_columns([text])))
+            n += len(codes)
+            if n > CHUNK:
+                yield whole()
+                kept, n = [], 0
+    if kept:
+        yield whole()
+
+
+def _numbered(m: Model, codes: np.ndarray) -> tuple[Bucket, np.ndarray]:
+    """The number of each code: its place in the cache, or one after these."""
+    place, hit = m.places(codes)
+    others = np.unique(codes[~hit])
+    place[~hit] = len(m.known.codes) + np.searchsorted(others, codes[~hit])
+    return Bucket(m, others, np.zeros(len(others), np.int64)), place
+
+
+def _read(m: Model, codes: np.ndarray, first: np.ndarray) -> tuple[Bucket, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a chunk; of each token the word before, the word, the context, and whether its count is missing."""
+    known, w = _numbered(m, np.r_[codes, START])
+    begin, w = w[-1], w[:-1]
+    dishes = m.served.dishes(codes)
+    v = np.r_[begin, w[:-1]]
+    v[first[:-1]] = begin
+    lost = (w >= len(m.known.codes)) & (dishes == m.served.rare) & (codes != END)
+    return known, v, w, m.served.contexts(dishes, first), lost
+
+
+def _with_rare(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """Words ``w`` outside the cache with their counts ``c``."""
+    rare = counts.where(F.col("c") < model.known.cached_from).select(F.col("h").alias("w2"), F.col("c").alias("c2"))
+    return rows.join(rare, rows["w"] == rare["w2"], "left").select(*rows.columns, F.coalesce("c2", F.lit(0)).alias("c"))
 
 
-def count_pairs(texts: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """(v, w, c, h) of all pairs of neighbours: their number, and the mean probability of w at the parent."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def _resolved(rows: DataFrame, model: Model, counts: DataFrame, shared: Shared) -> DataFrame:
+    """(bucket, block) of the rows (v, w, x) of words outside the cache, which meet the table of counts first."""
+    met = _with_rare(rows, model, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        names = ("v", "w", "lost", "c", "h")
-        kept: list[np.ndarray] = []
+        m, kept = shared.value, []
 
-        def rows() -> pa.RecordBatch:
-            return pa.record_batch({k: pa.array(x.view(np.int64) if k in ("v", "w") else x) for k, x in zip(names, kept, strict=True)})
+        def blocks() -> pa.RecordBatch:
+            table = pa.Table.from_batches(kept)
+            v, w, x, c = (table.column(k).to_numpy() for k in ("v", "w", "x", "c"))
+            known, words = _numbered(m, np.r_[v, w].view(np.uint64))
+            v, w = words[: len(v)], words[len(v) :]
+            known.counts[w - len(m.known.codes)] = c
+            (v, w, x), n = _distinct(v, w, x)
+            return _bucket_rows(_asked(m, known, v, w, x, n))
 
         for batch in batches:
-            for part in row_slices(batch, "text"):
-                codes, first = tokens(*text_bytes(part, "text"))
-                h, lost = m.parent(codes, first)
-                fresh_ = [_before(codes, first), codes, lost, np.ones(len(codes), np.int64), h]
-                v, w, lost, c, h = (np.concatenate(x) for x in zip(kept, fresh_, strict=True)) if kept else fresh_
-                _, at, inverse = np.unique(_pair_code(v, w), return_index=True, return_inverse=True)
-                kept = [v[at], w[at], lost[at], np.bincount(inverse, c, len(at)).astype(np.int64), np.bincount(inverse, h, len(at))]
-                if len(at) > FLUSH:
-                    yield rows()
-                    kept = []
-        if kept:
-            yield rows()
+            kept.append(batch)
+            if sum(b.num_rows for b in kept) > CHUNK:
+                yield blocks()
+                kept = []
+        if sum(b.num_rows for b in kept):
+            yield blocks()
 
-    found = texts.mapInArrow(run, "v long, w long, lost boolean, c long, h double").groupBy("v", "w")
-    found = stored(found.agg(F.max("lost").alias("lost"), F.sum("c").alias("c"), (F.sum("h") / F.sum("c")).alias("h")), "lm-pairs")
-    return _with_rare(found, model, counts, "h").drop("lost")
+    return met.mapInArrow(run, "bucket int, block binary")
 
 
-def _with_rare(rows: DataFrame, model: Model, counts: DataFrame, h: str) -> DataFrame:
-    """Words outside the cache get their probability among the rarer words from the table of counts."""
-    rare = counts.where(F.col("c") < model.known.cached_from).select(F.col("h").alias("w2"), F.col("c").alias("c2"))
-    lost = rows.where("lost").join(rare, F.col("w") == F.col("w2"), "left")
-    factor = F.pow(F.lit(10.0), _log_rare(model, F.coalesce("c2", F.lit(0))))
-    scaled = F.col(h) * factor if h == "h" else F.transform(h, lambda x: x * factor)
-    return rows.where("NOT lost").unionByName(lost.withColumn(h, scaled).select(*rows.columns))
+def _bucket_rows(blocks: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
+    listed = list(blocks)
+    return pa.record_batch({"bucket": pa.array([b for b, _ in listed], pa.int32()), "block": pa.array([x for _, x in listed], pa.binary())})
+
 
+def count_pairs(texts: DataFrame, lost: DataFrame, model: Model, counts: DataFrame, shared: Shared) -> DataFrame:
+    """(bucket, seated, open): the pairs of neighbours of each bucket.  Narrow restaurants come with their tables; pairs
+    of wide ones with the mean probability of the word at the parent."""
 
-def _segments(v: np.ndarray) -> tuple[np.ndarray, int]:
-    which = np.cumsum(np.r_[False, v[1:] != v[:-1]])
-    return which, int(which[-1]) + 1 if len(v) else 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        for codes, first, _ in _chunks(batches, "text"):
+            known, v, w, x, lost = _read(m, codes, first)
+            (v, w, x), n = _distinct(v[~lost], w[~lost], x[~lost])
+            yield _bucket_rows(_asked(m, known, v, w, x, n))
+
+    def gather(table: pa.Table) -> pa.Table:
+        m: Model = shared.value
+        blocks = [_unpack(b.as_py(), ASKED) for b in table.column("block")]
+        known = Bucket.of(m, [b[0] for b in blocks], [b[1] for b in blocks])
+        keys, times, shares = [], [], []
+        for codes, _, v, nv, w, nw, x, n, _ in blocks:
+            v, w = np.repeat(known.numbers(v, codes), nv), known.numbers(w, codes)
+            h = known.parent(w, np.repeat(np.arange(len(w)), nw), x) * n
+            at = np.r_[0, np.cumsum(nw, dtype=np.int64)[:-1]]
+            keys.append((v << 32) | w)
+            times.append(np.add.reduceat(n.astype(np.int64), at))
+            shares.append(np.add.reduceat(h, at))
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        c = np.bincount(inverse, np.concatenate(times), len(key)).astype(np.int64)
+        h = np.bincount(inverse, np.concatenate(shares), len(key)) / c
+        v, w = key >> 32, key & 0xFFFFFFFF
+        run = _starts(v)
+        wide = np.repeat(m.is_wide(known.codes(v[run])), _runs(run, len(v)))
+        tables = _seat_narrow(v[~wide], w[~wide], c[~wide], h[~wide])
+        out = (_packed_pairs(known, v[a], w[a], c[a], last, kinds) if a.any() else None
+               for a, last, kinds in ((~wide, tables, SEATED), (wide, h[wide], OPEN)))
+        return pa.table({"bucket": table.column("bucket")[:1], **{k: pa.array([b], pa.binary()) for k, b in zip(("seated", "open"), out, strict=True)}})
+
+    blocks = texts.mapInArrow(run, "bucket int, block binary")
+    if len(model.known.codes) < model.known.types:
+        blocks = blocks.unionByName(_resolved(lost, model, counts, shared))
+    return stored(blocks.groupBy("bucket").applyInArrow(gather, "bucket int, seated binary, open binary"), "lm-pairs")
+
+
+def _packed_pairs(known: Bucket, v: np.ndarray, w: np.ndarray, c: np.ndarray, last: np.ndarray, kinds: tuple) -> bytes:
+    run = _starts(v)
+    refs, others = _refs(np.r_[v[run], w], len(known.m.known.codes))
+    columns = (known.others[others], refs[: len(run)], _runs(run, len(v)), refs[len(run) :], c, last)
+    return _pack(*(x.astype(kind) for x, kind in zip(columns, kinds, strict=True)))
+
+
+def _pairs_of(m: Model, block: bytes) -> tuple[np.ndarray, ...]:
+    """(v, w, c, t) of a block of seated pairs, words as codes."""
+    others, v, nv, w, c, t = _unpack(block, SEATED)
+    return np.repeat(_codes(m, others, v), nv), _codes(m, others, w), c.astype(np.int64), t / SAMPLES
+
+
+def _pair_code(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(v * np.uint64(0x9E3779B97F4A7C15) + mixed(w))
 
 
 def _rng(sweep: int, *columns: np.ndarray) -> np.random.Generator:
     """The same rows get the same draws when a task is repeated."""
-    return np.random.default_rng([sweep, *(int(np.bitwise_xor.reduce(x.view(np.uint64))) for x in columns)])
+    return np.random.default_rng([sweep, *(int(np.bitwise_xor.reduce(mixed(x.astype(np.uint64)))) for x in columns)])
+
+
+def _seat_narrow(v: np.ndarray, w: np.ndarray, c: np.ndarray, h: np.ndarray, burn_in: int = BURN_IN,
+                 samples: int = SAMPLES) -> np.ndarray:
+    """Whole chains of some restaurants, whose rows come ordered by restaurant: the tables of all samples together."""
+    at = _starts(v)
+    which = np.repeat(np.arange(len(at)), _runs(at, len(v)))
+    rng, total = _rng(0, v, w, c), np.zeros(len(v), np.int64)
+    many = np.flatnonzero(c > 1)  # who comes alone has a table
+    own, customers, share, tables = which[many], c[many], h[many], np.ones(len(many), np.int64)
+    total += samples
+    for sweep in range(MOVES + burn_in + samples):
+        mass = draw_mass(_runs(at, len(v)) + np.bincount(own, tables - 1, len(at)), rng)
+        tables = draw(customers, mass[own] * share, rng)
+        if sweep >= MOVES + burn_in:
+            total[many] += tables - 1
+    return total
+
+
+def _seat_wide(pairs: DataFrame, model: Model, shared: Shared, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
+    """(bucket, seated) of the restaurants whose rows are dealt over many tasks: given its mass, a restaurant's dishes
+    are independent."""
+    sc, places = pairs.sparkSession.sparkContext, len(model.wide)
+    rest = pairs.where("open IS NOT NULL").select("bucket", "open")
+
+    def step(kept: list[np.ndarray], seed: int) -> np.ndarray:
+        masses = sc.broadcast(kept)
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(places)
+            for batch in batches:
+                for block in batch.column("open"):
+                    at, t, _ = _drawn(shared.value, block.as_py(), masses.value, seed)
+                    sums += np.bincount(at, t, places)
+            yield pa.record_batch({"v": np.flatnonzero(sums), "t": sums[sums > 0]})
+
+        found = rest.mapInArrow(run, "v long, t double").groupBy("v").agg(F.sum("t").alias("t")).toArrow()
+        masses.unpersist()
+        tables = np.zeros(places)
+        tables[found.column("v").to_numpy()] = found.column("t").to_numpy()
+        return tables
+
+    rng, masses, sweeps = np.random.default_rng(0), [], MOVES + burn_in + samples
+    if places:
+        tables = step([], 0)
+        for sweep in range(sweeps):
+            masses.append(draw_mass(tables, rng))
+            if sweep + 1 < sweeps:
+                tables = step(masses[-1:], sweep)
+    last = sc.broadcast(masses[-samples:])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for block in batch.column("open"):
+                _, t, (*words, c, _) = _drawn(shared.value, block.as_py(), last.value, sweeps)
+                out.append(_pack(*words, c, t.astype(np.uint64)))
+            yield pa.record_batch({"bucket": batch.column("bucket"), "seated": pa.array(out, pa.binary())})
 
-def _seat_narrow(burn_in: int, samples: int):
-    """Whole chains of the restaurants of a task, whose rows come ordered by restaurant."""
+    return stored(rest.mapInArrow(whole, "bucket int, seated binary"), "lm-wide")
 
-    def chain(part: pa.Table) -> pa.RecordBatch:
-        v, w, c, h = (part.column(k).to_numpy() for k in ("v", "w", "c", "h"))
-        which, n = _segments(v)
-        rng, total = _rng(0, v, w), np.zeros(len(v))
-        tables = np.minimum(c, 1)
-        for sweep in range(MOVES + burn_in + samples):
-            mass = draw_mass(np.bincount(which, tables, n), rng)
-            tables = draw(c, mass[which] * h, rng)
-            if sweep >= MOVES + burn_in:
-                total += tables
-        return pa.record_batch({"v": v, "w": w, "c": c, "t": total / samples})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        for batch in batches:
-            v = batch.column("v").to_numpy()
-            cut = np.flatnonzero(v[1:] != v[:-1])
-            # The last restaurant may go on in the next batch.
-            stop = int(cut[-1]) + 1 if len(cut) else 0
-            if stop == 0 and waiting and len(v) and waiting[-1].column("v")[-1].as_py() != v[0]:
-                yield chain(pa.Table.from_batches(waiting))
-                waiting = []
-            elif stop:
-                yield chain(pa.Table.from_batches([*waiting, batch.slice(0, stop)]))
-                waiting = []
-            if len(v) > stop:
-                waiting.append(batch.slice(stop))
-        if waiting:
-            yield chain(pa.Table.from_batches(waiting))
+def _drawn(m: Model, block: bytes, masses: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Restaurants of the pairs of a block, tables of all the given samples together (one each without any), and the columns."""
+    others, v, nv, w, c, h = columns = _unpack(block, OPEN)
+    at, c = np.repeat(np.searchsorted(m.wide, _codes(m, others, v)), nv), c.astype(np.int64)
+    rng, many = _rng(seed, v, w, c), np.flatnonzero(c > 1)
+    t = np.full(len(c), max(1, len(masses)), np.int64)
+    for mass in masses:
+        t[many] += draw(c[many], mass[at[many]] * h[many], rng) - 1
+    return at, t, columns
 
-    return run
 
+PAIRS = "v long, w long, c long, t double"
 
-def _seat_wide(pairs: DataFrame, burn_in: int, samples: int) -> DataFrame:
-    """Restaurants whose rows are dealt over many tasks: given its mass, a restaurant's dishes are independent."""
-    spark = pairs.sparkSession
-    start = pairs.groupBy("v").agg(F.count("*").alias("n")).toArrow()
-    codes, tables = (start.column(k).to_numpy() for k in ("v", "n"))
-    order = np.argsort(codes)
-    codes, tables, masses = codes[order], tables[order].astype(float), []
 
-    def step(kept: list[np.ndarray], seed: int, whole: bool) -> DataFrame:
-        shared = spark.sparkContext.broadcast((codes, kept))
+def _listed(seated: DataFrame, shared: Shared, least: int = 0) -> DataFrame:
+    """(v, w, c, t): customers of each dish and the mean number of their tables, of pairs with more than ``least``."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, every = shared.value
-            sums = np.zeros(len(known))
-            for batch in batches:
-                v, w, c, h = (batch.column(k).to_numpy() for k in ("v", "w", "c", "h"))
-                at, rng = np.searchsorted(known, v), _rng(seed, v, w)
-                t = sum(draw(c, mass[at] * h, rng) for mass in every) / len(every)
-                if whole:
-                    yield pa.record_batch({"v": v, "w": w, "c": c, "t": t})
-                sums += np.bincount(at, t, len(known))
-            if not whole:
-                yield pa.record_batch({"v": known, "t": sums})
-
-        return pairs.mapInArrow(run, "v long, w long, c long, t double" if whole else "v long, t double")
-
-    rng = np.random.default_rng(0)
-    for sweep in range(MOVES + burn_in + samples if len(codes) else 0):
-        mass = draw_mass(tables, rng)
-        masses.append(mass)
-        if sweep + 1 < MOVES + burn_in + samples:
-            found = step([mass], sweep, False).groupBy("v").agg(F.sum("t").alias("t")).toArrow()
-            tables = found.column("t").to_numpy()[np.argsort(found.column("v").to_numpy())]
-    return step(masses[-samples:] or [np.zeros(0)], MOVES + burn_in + samples, True)
-
-
-def seat_pairs(pairs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, wide: int = WIDE) -> DataFrame:
-    """(v, w, c, t): customers of each dish and the mean number of their tables."""
-    broad = F.broadcast(stored(pairs.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > wide).select("v"), "lm-wide"))
-    schema = "v long, w long, c long, t double"
-    narrow = pairs.join(broad, "v", "left_anti").repartition("v").sortWithinPartitions("v")
-    rest = stored(pairs.join(broad, "v", "left_semi").repartition("v", "w"), "lm-wide-rows")
-    seated = narrow.mapInArrow(_seat_narrow(burn_in, samples), schema).unionByName(_seat_wide(rest, burn_in, samples))
-    return stored(seated, "lm-seated")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("seated"):
+                v, w, c, t = _pairs_of(shared.value, block.as_py())
+                at = c > least
+                yield pa.record_batch({"v": v[at].view(np.int64), "w": w[at].view(np.int64), "c": c[at], "t": t[at]})
+
+    return seated.select("seated").mapInArrow(run, PAIRS)
+
+
+def seat_pairs(pairs: DataFrame, model: Model, shared: Shared, wide: int) -> None:
+    """The model's pairs, seated, and what of them every task knows: totals of wide restaurants and frequent pairs."""
+    dealt = _seat_wide(pairs, model, shared)
+    if len(model.wide):
+        sums = _listed(dealt, shared).groupBy("v").agg(F.sum("c").alias("n"), F.sum("t").alias("tables")).toArrow()
+        at = np.searchsorted(model.wide, sums.column("v").to_numpy().view(np.uint64))
+        for k, name in enumerate(("n", "tables")):
+            model.totals[k, at] = sums.column(name).to_numpy()
+        often = _listed(dealt, shared, wide).toArrow()
+        codes = _pair_code(*(often.column(k).to_numpy().view(np.uint64) for k in ("v", "w")))
+        order = np.argsort(codes)
+        model.often = codes[order]
+        model.often_seated = np.stack([often.column(k).to_numpy()[order].astype(float) for k in ("c", "t")])
+    model.seated = pairs.where("seated IS NOT NULL").select("bucket", "seated").unionByName(dealt)
+    model.pairs = _listed(model.seated, shared)
+    model.restaurants = model.pairs.groupBy("v").agg(F.sum("c").alias("n"), F.sum("t").alias("tables"))
 
 
 # --- scores --------------------------------------------------------------------------------------------------
@@ -464,28 +749,41 @@ class Model:
     log_dish: np.ndarray
     rare_tokens: int
     rare_types: int
-    # Restaurants of cached words: their codes, customers and tables.
-    before: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    buckets: int = BUCKETS
+    # Words whose restaurants are dealt over all buckets, with customers and tables; pairs that all tasks know.
+    wide: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     totals: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
+    often: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    often_seated: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
+    shared: Shared | None = None
+    seated: DataFrame | None = None
     pairs: DataFrame | None = None
     restaurants: DataFrame | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"pairs": None, "restaurants": None}  # frames stay on the driver
+        # Frames stay on the driver, and each task makes its own tables of places.
+        kept = {k: x for k, x in self.__dict__.items() if k not in ("_wide", "_known")}
+        return kept | {"shared": None, "seated": None, "pairs": None, "restaurants": None}
+
+    def is_wide(self, codes: np.ndarray) -> np.ndarray:
+        return self._wide.of(codes)[1]
+
+    @cached_property
+    def _wide(self) -> Places:
+        return Places(self.wide)
+
+    @cached_property
+    def _known(self) -> Places:
+        return Places(self.known.codes)
+
+    def deal(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Bucket of each pair: that of the word before, or of the pair where the restaurant is wide."""
+        spread = np.where(self.is_wide(v), _pair_code(v, w), mixed(v))
+        return (spread % np.uint64(self.buckets)).astype(np.uint16 if self.buckets <= 1 << 16 else np.int32)
 
     def places(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of words in the cache, and whether they are there."""
-        at = np.minimum(np.searchsorted(self.known.codes, codes), max(0, len(self.known.codes) - 1))
-        return at, self.known.codes[at] == codes if len(self.known.codes) else np.zeros(len(codes), bool)
-
-    def parent(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each token at the parent, and which still lack the share among rarer words."""
-        dishes = self.served.dishes(codes)
-        value = 10.0 ** self.log_dish[self.served.contexts(dishes, first), dishes].astype(float)
-        at, hit = self.places(codes)
-        rare = dishes == self.served.rare
-        value[hit & rare] *= 10.0 ** self.log_rare(self.known.counts[at[hit & rare]])
-        return value, ~hit & rare & (codes != END)
+        return self._known.of(codes)
 
     def log_rare(self, c: np.ndarray) -> np.ndarray:
         """log10 probability of a word outside the menu, given that it is one."""
@@ -508,147 +806,197 @@ def fit(texts: DataFrame, text: str = "text", dishes: int = DISHES, cached: int
     n_menu, types_menu = int(known.counts[on_menu].sum()), len(served.codes)
     if known.tokens and END not in known.codes:
         n_menu += counts.where(F.col("h") == int(END)).first()["c"]
+    model = Model(known, served, np.zeros((CONTEXTS, 1), np.float32), known.tokens - n_menu, known.types - types_menu)
+    model.buckets = max(BUCKETS, -(-known.tokens // BUCKET))
+    # A word is as often a context as it occurs, the start as often as the end.
+    often = counts.where(F.col("c") > wide).select("h").toArrow().column("h").to_numpy().view(np.uint64)
+    model.wide = np.unique(np.where(often == END, START, often))
+    model.totals = np.zeros((2, len(model.wide)))
+    shared = Shared(texts.sparkSession.sparkContext).also(model=model)
+    contexts, lost = count_contexts(texts, served.rare + 1, shared)
     if known.tokens:
-        table = average_predictive(count_contexts(texts, served), served.rare + 1)
-    else:
-        table = np.ones((CONTEXTS, 1))
-    log_dish = np.log10(table).astype(np.float32)
-    model = Model(known, served, log_dish, known.tokens - n_menu, known.types - types_menu)
-    model.pairs = seat_pairs(count_pairs(texts, model, counts), wide=wide)
-    model.restaurants = stored(model.pairs.groupBy("v").agg(F.sum("c").alias("n"), F.sum("t").alias("tables")), "lm-restaurants")
-    # A word is as often a context as it occurs, so these are the cached words, and the start.
-    top = model.restaurants.where((F.col("n") >= known.cached_from) | (F.col("v") == int(START))).toArrow()
-    order = np.argsort(top.column("v").to_numpy())
-    model.before = top.column("v").to_numpy()[order]
-    model.totals = np.stack([top.column(k).to_numpy()[order].astype(float) for k in ("n", "tables")])
+        model.log_dish = np.log10(average_predictive(contexts, served.rare + 1)).astype(np.float32)
+        shared = shared.also(log_dish=model.log_dish)
+    seat_pairs(count_pairs(texts, lost, model, counts, shared), model, shared, wide)
+    model.shared = shared.also(totals=model.totals, often=model.often, often_seated=model.often_seated)
     return model, counts
 
 
-def _score(model, ident: str, text: str):
+OWN = "n_tokens long, n_known long, base double, near double"
+
+
+# A block of a chunk, a document at a place of it, or a token outside the cache: the word, times how often it occurs.
+BEFORE = ("block", "chunk", "at", "w", "times", "own", "share")
+
+
+def _fields(id_type: pa.DataType, *before: str) -> pa.Schema:
+    """Fields of the rows between the steps of ``score``."""
+    kinds = {"bucket": pa.int32(), "block": pa.binary(), "id": id_type} | {k: pa.float64() for k in ("base", "near", "own", "share")}
+    names = [*before, "id", *(x.split()[0] for x in OWN.split(", "))]
+    return pa.schema([(k, kinds.get(k, pa.int64())) for k in names])
+
+
+def _filled(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({f.name: columns.get(f.name, pa.nulls(n, f.type)) for f in schema}, schema)
+
+
+def _score(shared: Shared, ident: str, text: str):
+    """Rows of documents with what is known without their pairs, and blocks of the pairs of a chunk of documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part in row_slices(batch, text):
-                codes, first = tokens(*text_bytes(part, text))
-                docs = part.num_rows
-                of = np.repeat(np.arange(docs), np.diff(first))
-                at, hit = m.places(codes)
-                c = np.where(hit, m.known.counts[at], 0) if len(m.known.codes) else np.zeros(len(codes), int)
-                base = np.where(hit, m.log_base(c), 0.0)
-                lost = codes[~hit].view(np.int64)
-                cuts = np.searchsorted(of[~hit], np.arange(docs + 1)).astype(np.int32)
-                yield pa.record_batch({
-                    "row": pa.array(row + np.arange(docs)),
-                    "id": part.column(ident),
-                    "n_tokens": pa.array(np.diff(first)),
-                    "n_known": pa.array(np.bincount(of[hit], minlength=docs)),
-                    "base": pa.array(np.bincount(of, base, docs)),
-                    "lost": pa.ListArray.from_arrays(pa.array(cuts), pa.array(lost)),
-                    "text": part.column(text),
-                })
-                row += docs
+        m: Model = shared.value
+        chunk = TaskContext.get().partitionId() << 32
+        for codes, first, docs in _chunks(batches, text):
+            known, v, w, x, lost = _read(m, codes, first)
+            n = docs.num_rows
+            of = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
+            hit, ask, near = w < len(m.known.codes), np.ones(len(w), bool), np.zeros(n)
+            base = np.bincount(of[hit], m.log_base(m.known.counts[w[hit]]), n)
+            if len(m.often):
+                before = known.codes(v)
+                some = np.flatnonzero(~lost & m.is_wide(before))
+                place, there = _among(m.often, _pair_code(before[some], codes[some]))
+                some, place = some[there], place[there]
+                wide, _ = _among(m.wide, before[some])
+                p = _probability(*m.often_seated[:, place], *m.totals[:, wide], known.parent(w[some], np.arange(len(some)), x[some]))
+                near = np.bincount(of[some], np.log10(p), n)
+                ask[some] = False
+            ids = docs.column(ident).combine_chunks()
+            schema = _fields(ids.type, "bucket", *BEFORE)
+            yield _filled(
+                schema, n, bucket=np.full(n, chunk % m.buckets, np.int32), chunk=np.full(n, chunk), at=np.arange(n), id=ids,
+                n_tokens=np.diff(first), n_known=np.bincount(of[hit], minlength=n),
+                base=base, near=near,
+            )
+            (v, w, x, of), times = _distinct(v[ask], w[ask], x[ask], of[ask])
+            rows = _bucket_rows(_asked(m, known, v, w, x, times, doc=of))
+            yield _filled(schema, len(rows), bucket=rows.column("bucket"), block=rows.column("block"), chunk=np.full(len(rows), chunk))
+            chunk += 1
 
     return run
 
 
-def _ask(model):
-    """Tokens by pair, with the documents that have them and their probabilities at the parent."""
+class Shared:
+    """What tasks know of the model: each part is broadcast once, when it is known."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        kept: list[list[np.ndarray]] = []
-
-        def rows() -> pa.RecordBatch:
-            v, w, lost, of, h = (np.concatenate(x) for x in zip(*kept, strict=True))
-            code = _pair_code(v, w)
-            order = np.argsort(code, kind="stable")
-            v, w, lost, of, h, code = (x[order] for x in (v, w, lost, of, h, code))
-            at = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            cuts = pa.array(np.r_[at, len(code)].astype(np.int32))
-            v = v[at].view(np.int64)
-            near = np.minimum(np.searchsorted(m.before, v), max(0, len(m.before) - 1))
-            met = m.before[near] == v if len(m.before) else np.zeros(len(v), bool)
-            n, tables = (np.where(met, x[near], 0.0) if len(m.before) else np.zeros(len(v)) for x in m.totals)
-            return pa.record_batch({
-                "v": v, "w": w[at].view(np.int64), "lost": lost[at], "met": met, "n": n, "tables": tables,
-                "rows": pa.ListArray.from_arrays(cuts, pa.array(of)), "hs": pa.ListArray.from_arrays(cuts, pa.array(h)),
-            })
+    def __init__(self, context: SparkContext, parts: tuple = ()):
+        self.context, self.parts = context, parts
 
-        for batch in batches:
-            numbers = batch.column("row").to_numpy()
-            begin = 0
-            for part in row_slices(batch, "text"):
-                codes, first = tokens(*text_bytes(part, "text"))
-                h, lost = m.parent(codes, first)
-                of = np.repeat(numbers[begin : begin + part.num_rows], np.diff(first))
-                begin += part.num_rows
-                kept.append([_before(codes, first), codes, lost, of, h])
-                if sum(len(x[0]) for x in kept) > FLUSH:
-                    yield rows()
-                    kept = []
-        if kept:
-            yield rows()
+    def also(self, **fields) -> Shared:
+        return Shared(self.context, (*self.parts, self.context.broadcast(fields)))
+
+    def __getstate__(self) -> dict:
+        return {"context": None, "parts": self.parts}
+
+    @property
+    def value(self) -> Model:
+        m = self.parts[0].value["model"]
+        for part in self.parts[1:]:
+            m.__dict__.update(part.value)
+        return m
+
+
+def _probability(c: np.ndarray, t: np.ndarray, n: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    return (c - DISCOUNT * t + (STRENGTH + DISCOUNT * tables) * parent) / (STRENGTH + n)
+
+
+SUMS = (np.uint32, np.float64)
+
+
+def _answer(shared: Shared):
+    """Sums of log10 probabilities by document, in a block for each chunk.  A token outside the cache is a row of its own:
+    the probability is ``own`` and, times the probability of the word among rarer ones, ``share``."""
+
+    def run(asked: pa.Table, seated: pa.Table) -> pa.Table:
+        m: Model = shared.value
+        there, schema = asked.column("block").is_valid(), _fields(asked.schema.field("id").type, *BEFORE)
+        docs, asked = asked.filter(asked.column("block").is_null()), asked.filter(there)
+        held = [_unpack(b.as_py(), SEATED) for b in seated.column("seated")]
+        found = [_unpack(b.as_py(), ASKED) for b in asked.column("block")]
+        known = Bucket.of(m, [b[0] for b in [*found, *held]], [*(b[1] for b in found), *(np.zeros(len(b[0])) for b in held)])
+        key, c, t = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        if held:
+            key = np.concatenate([(np.repeat(known.numbers(v, o), nv) << 32) | known.numbers(w, o) for o, v, nv, w, _, _ in held])
+            c, t = (np.concatenate([h[k] for h in held]).astype(float) for k in (4, 5))
+            order = np.argsort(key)
+            key, c, t = key[order], c[order], t[order] / SAMPLES
+        at = _starts(key >> 32)
+        own = key[at] >> 32
+        totals = np.add.reduceat(np.stack([c, t]), at, axis=1) if len(at) else np.zeros((2, 0))
+        place, wide = m._wide.of(known.codes(own))
+        totals[:, wide] = m.totals[:, place[wide]]
+        c, t, totals = np.r_[c, 0.0], np.r_[t, 0.0], np.c_[totals, np.zeros(2)]
+        chunks, blocks, rows = [], [], []
+        for chunk, (codes, _, v, nv, w, nw, x, times, doc) in zip(asked.column("chunk"), found, strict=True):
+            v, w, of = known.numbers(v, codes), known.numbers(w, codes), np.repeat(np.arange(len(w)), nw)
+            restaurant, met = _among(own, v)
+            total = totals[:, np.where(met, restaurant, len(own))]
+            place, wide = m._wide.of(known.codes(v))
+            total[:, wide] = m.totals[:, place[wide]]
+            total = np.repeat(total, nv, axis=1)
+            pair, met = _among(key, (np.repeat(v, nv) << 32) | w)
+            pair = np.where(met, pair, len(key))
+            c_, t_, n_, tables, chunk = c[pair][of], t[pair][of], total[0][of], total[1][of], chunk.as_py()
+            lost = ((w >= len(m.known.codes)) & (known.codes(w) != END))[of]
+            p = _probability(c_, t_, n_, tables, known.parent(w, of, x))
+            docs_, inverse = np.unique(doc[~lost], return_inverse=True)
+            chunks.append(chunk)
+            blocks.append(_pack(docs_, np.bincount(inverse, (np.log10(p) * times)[~lost])))
+            if lost.any():
+                c_, t_, n_, tables, of = c_[lost], t_[lost], n_[lost], tables[lost], of[lost]
+                rare = 10.0 ** m.log_dish[x[lost], m.served.rare].astype(float)
+                rows.append(_filled(
+                    schema, len(of), chunk=np.full(len(of), chunk), at=doc[lost].astype(np.int64), w=known.codes(w)[of].view(np.int64),
+                    times=times[lost].astype(np.int64), own=(c_ - DISCOUNT * t_) / (STRENGTH + n_),
+                    share=(STRENGTH + DISCOUNT * tables) * rare / (STRENGTH + n_),
+                ))
+        rows.append(_filled(schema, len(chunks), chunk=pa.array(chunks, pa.int64()), block=pa.array(blocks, pa.binary())))
+        return pa.concat_tables([docs.select(schema.names).cast(schema), pa.Table.from_batches(rows)])
 
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of log10 probabilities by document."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        c, t, n, tables = (batch.column(k).to_numpy() for k in ("c", "t", "n", "tables"))
-        hs, rows = batch.column("hs"), batch.column("rows").flatten().to_numpy()
-        of = np.repeat(np.arange(batch.num_rows), np.diff(hs.offsets.to_numpy()))
-        p = (c - DISCOUNT * t)[of] + (STRENGTH + DISCOUNT * tables)[of] * hs.flatten().to_numpy()
-        docs, inverse = np.unique(rows, return_inverse=True)
-        yield pa.record_batch({"row2": docs, "s": np.bincount(inverse, np.log10(p / (STRENGTH + n[of])), len(docs))})
+def _whole(table: pa.Table) -> pa.Table:
+    """The documents of a chunk with the sums of all buckets."""
+    docs = table.filter(table.column("block").is_null())
+    at = docs.column("at").to_numpy()
+    score = np.zeros(int(at.max()) + 1)
+    for block in table.filter(table.column("block").is_valid()).column("block"):
+        places, s = _unpack(block.as_py(), SUMS)
+        score[places] += s
+    docs = docs.set_column(docs.column_names.index("near"), "near", pa.array(docs.column("near").to_numpy() + score[at]))
+    return docs.select(["chunk", "at", *_fields(docs.schema.field("id").type).names])
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every document."""
-    spark = docs.sparkSession
-    id_type = docs.schema[ident].dataType.simpleString()
-    schema = f"row long, id {id_type}, n_tokens long, n_known long, base double, lost array<long>, text string"
-    shared = spark.sparkContext.broadcast(model)
-    first = stored(docs.select(ident, text).mapInArrow(_score(shared, ident, text), schema), "lm-first")
+    own = f"id {docs.schema[ident].dataType.simpleString()}, {OWN}"
+    answers = f"block binary, chunk long, at long, w long, times long, own double, share double, {own}"
+    shared = model.shared
+    asked = docs.select(ident, text).mapInArrow(_score(shared, ident, text), f"bucket int, {answers}")
+    # Every token meets the restaurant of the word before it.
+    met = asked.groupBy("bucket").cogroup(model.seated.groupBy("bucket")).applyInArrow(_answer(shared), answers)
+    met = stored(met, "lm-answers")
+    whole = met.where("w IS NULL").groupBy("chunk").applyInArrow(_whole, f"chunk long, at long, {own}")
     # Words outside the cache meet the table of counts; only their sums come back to the documents.
-    asked = first.select("row", F.explode("lost").alias("h")).groupBy("row", "h").agg(F.count("*").alias("n"))
-    rare = counts.where(F.col("c") < model.known.cached_from).select(F.col("h").alias("h2"), "c")
-    c = F.coalesce("c", F.lit(0))
-    found = asked.join(rare, asked["h"] == rare["h2"], "left").select(
-        "row",
-        F.when(c > 0, F.col("n")).otherwise(0).alias("k"),
-        (F.col("n") * F.log10((c + 0.5) / (model.known.tokens + 0.5 * (model.known.types + 1)))).alias("b"),
+    lost = _with_rare(met.where("w IS NOT NULL").select("chunk", "at", "w", "times", "own", "share"), model, counts)
+    c, mass = F.col("c"), STRENGTH + model.rare_tokens
+    among = F.when(c > 0, c - model.known.rare_discount).otherwise(STRENGTH + model.known.rare_discount * model.rare_types) / mass
+    base = F.log10((c + 0.5) / (model.known.tokens + 0.5 * (model.known.types + 1)))
+    more = lost.groupBy(F.col("chunk").alias("chunk2"), F.col("at").alias("at2")).agg(
+        F.sum(F.when(c > 0, F.col("times"))).alias("k"),
+        F.sum(F.col("times") * base).alias("b"),
+        F.sum(F.col("times") * F.log10(F.col("own") + F.col("share") * among)).alias("s"),
     )
-    more = found.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("k", "b")]).withColumnRenamed("row", "row3")
-    # Every token meets the restaurant of the word before it.
-    schema = "v long, w long, lost boolean, met boolean, n double, tables double, rows array<long>, hs array<double>"
-    pairs = stored(first.select("row", "text").mapInArrow(_ask(shared), schema), "lm-asked")
-    pairs = _with_rare(pairs, model, counts, "hs")
-    totals = model.restaurants.select("v", F.col("n").alias("n2"), F.col("tables").alias("tables2"))
-    far = pairs.where("NOT met").join(totals, "v", "left")
-    far = far.withColumns({k: F.coalesce(f"{k}2", F.lit(0.0)) for k in ("n", "tables")}).select(*pairs.columns)
-    met = pairs.where("met").unionByName(far).join(model.pairs, ["v", "w"], "left")
-    met = met.select(F.coalesce("c", F.lit(0)).cast("double").alias("c"), F.coalesce("t", F.lit(0.0)).alias("t"), "n", "tables", "rows", "hs")
-    sums = met.mapInArrow(_answer, "row2 long, s double").groupBy("row2").agg(F.sum("s").alias("score"))
-    whole = first.drop("lost", "text").join(sums, F.col("row") == F.col("row2"), "left")
-    whole = whole.join(more, F.col("row") == F.col("row3"), "left")
-    return whole.select(
+    return whole.join(more, (F.col("chunk") == F.col("chunk2")) & (F.col("at") == F.col("at2")), "left").select(
         "id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("near") + F.coalesce("s", F.lit(0.0))).alias("score"),
     )
 
 
-def _log_rare(model: Model, c: Column) -> Column:
-    d, mass = model.known.rare_discount, STRENGTH + model.rare_tokens
-    return F.log10(F.when(c > 0, c - d).otherwise(STRENGTH + d * model.rare_types) / mass)
-
-
 def perplexity(scored: DataFrame) -> DataFrame:
     """One row: perplexity per token over all scored documents."""
     return scored.agg(F.pow(F.lit(10.0), -F.sum("score") / F.sum("n_tokens")).alias("perplexity"))
