@@ -17,11 +17,14 @@ from their exact conditional (``seating``) and goes on from the last one's state
 first one starts from customers seated one by one and repeats that ``MOVES`` times.  Tables are the customers of the parent.  The predictive probabilities of several samples are averaged.  A text's score is the sum of the log10
 probabilities of its tokens; all probabilities of one context add up to 1.
 
-What grows with the corpus stays in Spark: counts of words, and customers and tables of pairs, are distributed tables
-that meet the tokens in joins.  Restaurants of up to ``WIDE`` distinct words are seated within a task; the rows of wider
-ones are dealt over all tasks, and only their total tables reach the driver (one number per ``WIDE`` rows at most).
-Bounded and broadcast are the counts and restaurant totals of the ``CACHED`` most frequent words at most, and the
-averaged table of function words by dishes.  Words are told apart by 64-bit codes.
+What grows with the corpus stays in Spark.  Pairs are dealt to buckets by the word before, those of restaurants with more
+than ``WIDE`` customers by the pair, and travel as compressed blocks: words are numbers of the ``CACHED`` most frequent
+ones, and the context takes the place of the parent's probability, which is looked up where blocks meet.  Narrow
+restaurants are seated where their pairs are counted; the rows of wide ones stay dealt over all tasks, and only their total
+tables reach the driver (one number per ``WIDE`` tokens at most).  Tokens to score meet the seated pairs of their bucket;
+those outside the cache then meet the table of counts.  Bounded and broadcast are the counts of the ``CACHED`` most frequent
+words at most, the averaged table of function words by dishes, and the pairs that occur more than ``WIDE`` times (at most
+one per ``WIDE`` tokens).  Words are told apart by 64-bit codes.
 
 Defined results: a null or empty text is its end alone; without training documents every probability is 1 (score 0);
 repeated documents are counted and scored as often as they occur; other columns may have any names.
@@ -54,6 +57,7 @@ START = np.uint64(2)
 WIDE = 4096
 FLUSH = 1 << 20
 CHUNK = 1 << 19
+PART = 1 << 18
 BUCKETS = 64
 BUCKET = 1 << 22
 
@@ -375,10 +379,11 @@ def _pack(*columns: np.ndarray) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _unpack(block: bytes, types: tuple[type, ...]) -> list[np.ndarray]:
+def _unpack(block: bytes, types: tuple[type, ...], only: int | None = None) -> list[np.ndarray]:
+    """The columns of a block, or only the first ones."""
     raw = np.frombuffer(pa.decompress(block[8:], int.from_bytes(block[:8], "little"), "zstd"), np.uint8)
     at, out = 8 * len(types), []
-    for n, kind in zip(raw[:at].view(np.int64), types, strict=True):
+    for n, kind in list(zip(raw[:at].view(np.int64), types, strict=True))[:only]:
         width = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).ravel())
         at += n * width
@@ -585,26 +590,38 @@ def count_pairs(texts: DataFrame, lost: DataFrame, model: Model, counts: DataFra
 
     def gather(table: pa.Table) -> pa.Table:
         m: Model = shared.value
-        blocks = [_unpack(b.as_py(), ASKED) for b in table.column("block")]
-        known = Bucket.of(m, [b[0] for b in blocks], [b[1] for b in blocks])
+        heads = [_unpack(b.as_py(), ASKED, 2) for b in table.column("block")]
+        known = Bucket.of(m, [h[0] for h in heads], [h[1] for h in heads])
         keys, times, shares = [], [], []
-        for codes, _, v, nv, w, nw, x, n, _ in blocks:
+        for block in table.column("block"):
+            codes, _, v, nv, w, nw, x, n, _ = _unpack(block.as_py(), ASKED)
             v, w = np.repeat(known.numbers(v, codes), nv), known.numbers(w, codes)
             h = known.parent(w, np.repeat(np.arange(len(w)), nw), x) * n
             at = np.r_[0, np.cumsum(nw, dtype=np.int64)[:-1]]
             keys.append((v << 32) | w)
             times.append(np.add.reduceat(n.astype(np.int64), at))
             shares.append(np.add.reduceat(h, at))
-        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        c = np.bincount(inverse, np.concatenate(times), len(key)).astype(np.int64)
-        h = np.bincount(inverse, np.concatenate(shares), len(key)) / c
+        keys, times, shares = (np.concatenate(y) for y in (keys, times, shares))
+        # Some of the restaurants at a time, to hold less.
+        parts, rows = -(-len(keys) // PART), []
+        which = ((keys >> 32) % parts).astype(np.int32)
+        for part in range(parts):
+            own = which == part
+            if own.any():
+                rows.append(seat_some(m, known, keys[own], times[own], shares[own]))
+        seated, open_ = (pa.array(y, pa.binary()) for y in zip(*rows, strict=True))
+        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * len(rows), pa.int32()), "seated": seated, "open": open_})
+
+    def seat_some(m: Model, known: Bucket, keys: np.ndarray, times: np.ndarray, shares: np.ndarray) -> list[bytes | None]:
+        key, inverse = np.unique(keys, return_inverse=True)
+        c = np.bincount(inverse, times, len(key)).astype(np.int64)
+        h = np.bincount(inverse, shares, len(key)) / c
         v, w = key >> 32, key & 0xFFFFFFFF
         run = _starts(v)
         wide = np.repeat(m.is_wide(known.codes(v[run])), _runs(run, len(v)))
         tables = _seat_narrow(v[~wide], w[~wide], c[~wide], h[~wide])
-        out = (_packed_pairs(known, v[a], w[a], c[a], last, kinds) if a.any() else None
-               for a, last, kinds in ((~wide, tables, SEATED), (wide, h[wide], OPEN)))
-        return pa.table({"bucket": table.column("bucket")[:1], **{k: pa.array([b], pa.binary()) for k, b in zip(("seated", "open"), out, strict=True)}})
+        return [_packed_pairs(known, v[a], w[a], c[a], last, kinds) if a.any() else None
+                for a, last, kinds in ((~wide, tables, SEATED), (wide, h[wide], OPEN))]
 
     blocks = texts.mapInArrow(run, "bucket int, block binary")
     if len(model.known.codes) < model.known.types:
@@ -845,7 +862,8 @@ def _score(shared: Shared, ident: str, text: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        chunk = TaskContext.get().partitionId() << 32
+        task = TaskContext.get().partitionId()
+        chunk = task << 32
         for codes, first, docs in _chunks(batches, text):
             known, v, w, x, lost = _read(m, codes, first)
             n = docs.num_rows
@@ -864,7 +882,7 @@ def _score(shared: Shared, ident: str, text: str):
             ids = docs.column(ident).combine_chunks()
             schema = _fields(ids.type, "bucket", *BEFORE)
             yield _filled(
-                schema, n, bucket=np.full(n, chunk % m.buckets, np.int32), chunk=np.full(n, chunk), at=np.arange(n), id=ids,
+                schema, n, bucket=np.full(n, (task + chunk) % m.buckets, np.int32), chunk=np.full(n, chunk), at=np.arange(n), id=ids,
                 n_tokens=np.diff(first), n_known=np.bincount(of[hit], minlength=n),
                 base=base, near=near,
             )
@@ -912,13 +930,13 @@ def _answer(shared: Shared):
         there, schema = asked.column("block").is_valid(), _fields(asked.schema.field("id").type, *BEFORE)
         docs, asked = asked.filter(asked.column("block").is_null()), asked.filter(there)
         held = [_unpack(b.as_py(), SEATED) for b in seated.column("seated")]
-        found = [_unpack(b.as_py(), ASKED) for b in asked.column("block")]
+        found = [_unpack(b.as_py(), ASKED, 2) for b in asked.column("block")]
         known = Bucket.of(m, [b[0] for b in [*found, *held]], [*(b[1] for b in found), *(np.zeros(len(b[0])) for b in held)])
         key, c, t = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         if held:
             key = np.concatenate([(np.repeat(known.numbers(v, o), nv) << 32) | known.numbers(w, o) for o, v, nv, w, _, _ in held])
             c, t = (np.concatenate([h[k] for h in held]).astype(float) for k in (4, 5))
-            order = np.argsort(key)
+            held, order = None, np.argsort(key)
             key, c, t = key[order], c[order], t[order] / SAMPLES
         at = _starts(key >> 32)
         own = key[at] >> 32
@@ -927,7 +945,8 @@ def _answer(shared: Shared):
         totals[:, wide] = m.totals[:, place[wide]]
         c, t, totals = np.r_[c, 0.0], np.r_[t, 0.0], np.c_[totals, np.zeros(2)]
         chunks, blocks, rows = [], [], []
-        for chunk, (codes, _, v, nv, w, nw, x, times, doc) in zip(asked.column("chunk"), found, strict=True):
+        for chunk, block in zip(asked.column("chunk"), asked.column("block"), strict=True):
+            codes, _, v, nv, w, nw, x, times, doc = _unpack(block.as_py(), ASKED)
             v, w, of = known.numbers(v, codes), known.numbers(w, codes), np.repeat(np.arange(len(w)), nw)
             restaurant, met = _among(own, v)
             total = totals[:, np.where(met, restaurant, len(own))]
@@ -936,19 +955,20 @@ def _answer(shared: Shared):
             total = np.repeat(total, nv, axis=1)
             pair, met = _among(key, (np.repeat(v, nv) << 32) | w)
             pair = np.where(met, pair, len(key))
-            c_, t_, n_, tables, chunk = c[pair][of], t[pair][of], total[0][of], total[1][of], chunk.as_py()
+            own_ = (c[pair] - DISCOUNT * t[pair]) / (STRENGTH + total[0])
+            share, chunk = (STRENGTH + DISCOUNT * total[1]) / (STRENGTH + total[0]), chunk.as_py()
             lost = ((w >= len(m.known.codes)) & (known.codes(w) != END))[of]
-            p = _probability(c_, t_, n_, tables, known.parent(w, of, x))
-            docs_, inverse = np.unique(doc[~lost], return_inverse=True)
+            logs = np.log10(own_[of] + share[of] * known.parent(w, of, x)) * times
+            logs[lost] = 0
             chunks.append(chunk)
-            blocks.append(_pack(docs_, np.bincount(inverse, (np.log10(p) * times)[~lost])))
+            docs_ = np.flatnonzero(np.bincount(doc))
+            blocks.append(_pack(docs_.astype(np.uint32), np.bincount(doc, logs)[docs_]))
             if lost.any():
-                c_, t_, n_, tables, of = c_[lost], t_[lost], n_[lost], tables[lost], of[lost]
+                of = of[lost]
                 rare = 10.0 ** m.log_dish[x[lost], m.served.rare].astype(float)
                 rows.append(_filled(
                     schema, len(of), chunk=np.full(len(of), chunk), at=doc[lost].astype(np.int64), w=known.codes(w)[of].view(np.int64),
-                    times=times[lost].astype(np.int64), own=(c_ - DISCOUNT * t_) / (STRENGTH + n_),
-                    share=(STRENGTH + DISCOUNT * tables) * rare / (STRENGTH + n_),
+                    times=times[lost].astype(np.int64), own=own_[of], share=share[of] * rare,
                 ))
         rows.append(_filled(schema, len(chunks), chunk=pa.array(chunks, pa.int64()), block=pa.array(blocks, pa.binary())))
         return pa.concat_tables([docs.select(schema.names).cast(schema), pa.Table.from_batches(rows)])

@@ -129,3 +129,19 @@ def test_every_word_before_has_its_own_restaurant(spark, wide, cached):
         own = [x for x in found.values() if x["v"] == r["v"]]
         left = py.STRENGTH + py.DISCOUNT * r["tables"]
         assert sum(x["c"] - py.DISCOUNT * x["t"] for x in own) + left == pytest.approx(py.STRENGTH + r["n"])
+
+
+def test_pairs_are_stored_in_few_bytes_and_documents_are_dealt(spark):
+    """Rows of four numbers took 25 bytes a pair and more; the documents of all tasks do not go to one bucket."""
+    rng = np.random.default_rng(0)
+    texts = [(k, " ".join(f"w{x}" for x in rng.integers(0, 3000, 400))) for k in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    model, counts = py.fit(docs)
+    stored = sum(len(r["seated"]) for r in model.seated.collect())
+    pairs = model.pairs.count()
+    assert pairs == len({p for _, text in texts for p in zip(["<s>", *tokens(text)], tokens(text), strict=False)})
+    assert stored < 8 * pairs
+    asked = docs.mapInArrow(py._score(model.shared, "doc_id", "text"), "bucket int, block binary, chunk long, at long, w long, "
+                            f"times long, own double, share double, id long, {py.OWN}")
+    assert asked.where("block IS NULL").select("bucket").distinct().count() == 8
+    assert py.score(docs, model, counts).count() == 200
