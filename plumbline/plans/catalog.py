@@ -807,22 +807,22 @@ def similar_queries(spark, sf_dir):
 
 
 def _story_vectors(spark, sf_dir):
-    corpus = session.cut(flows.embedded_corpus(tables.stories(spark, sf_dir)))
-    return corpus.filter(F.col("id") % 100 == 0), corpus
+    return session.cut(flows.embedded_corpus(tables.stories(spark, sf_dir)))
 
 
 @register
 def similar_approx(spark, sf_dir):
     """Close neighbours of every hundredth story among all stories, by random planes."""
-    return similarity.approximate(*_story_vectors(spark, sf_dir), k=5, min_similarity=0.9, others_only=True)
+    corpus = _story_vectors(spark, sf_dir)
+    return similarity.approximate(corpus.filter(F.col("id") % 100 == 0), corpus, k=5, min_similarity=0.9, others_only=True)
 
 
 @register
 def similar_recall(spark, sf_dir):
-    """Share of the exact close neighbours that the approximate search finds."""
-    asked, corpus = _story_vectors(spark, sf_dir)
-    exact = similarity.search(asked, corpus, k=5, min_similarity=0.9, others_only=True)
-    return similarity.recall(similarity.approximate(asked, corpus, k=5, min_similarity=0.9, others_only=True), exact)
+    """Share of the exact close neighbours of all stories that the approximate search finds."""
+    corpus = _story_vectors(spark, sf_dir)
+    exact = similarity.top_k(corpus, k=5, min_similarity=0.9)
+    return similarity.recall(similarity.approximate(corpus, corpus, k=5, min_similarity=0.9, others_only=True), exact)
 
 
 @register
